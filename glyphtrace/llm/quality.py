@@ -3,7 +3,8 @@
 A logistic model over binned surface measures minimises
 ``pi R+(positives) + max(0, R-(unlabelled) - pi R-(positives))``. Positives are trusted documents,
 unlabelled ones are other web text, and the class prior ``pi`` is estimated as the share of trusted
-among judged training rows. Training takes bounded samples (``MOST`` rows each, by a hash of the id,
+among judged training rows; at last the bias is set so that the unlabelled rows' mean score is that prior.
+Training takes bounded samples (``MOST`` rows each, by a hash of the id,
 texts measured whole on the executors); only their measures, some twenty numbers a row, reach the driver.
 
 Cases: null and empty texts have all measures zero and get a score like any other; without a positive
@@ -89,7 +90,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             grad[-1] += g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(edges, theta[:-1].reshape(k, b), float(theta[-1]))
+    model = Model(edges, theta[:-1].reshape(k, b), float(theta[-1]))
+    low, high = -30.0, 30.0
+    for _ in range(60):  # the bias at which the unlabelled rows' mean score is the prior
+        model.bias = (low + high) / 2
+        low, high = (model.bias, high) if model.score(unlabelled).mean() < prior else (low, model.bias)
+    return model
 
 
 def sample(docs: DataFrame, most: int) -> np.ndarray:

@@ -4,7 +4,7 @@ Two tags, clean and toxic. Training tokens are labelled from labelled documents:
 document is toxic if its form, or the start of it, occurs far more often in toxic than in clean
 training documents. The field is fitted by exact forward-backward gradients; its chains are sentences,
 or pieces of at most ``CHAIN`` tokens of longer ones. A document's score is a logistic function of its
-marginals (their largest and their sum); offsets of tokens with a marginal over one half are reported.
+marginals (the two largest, their sum, and the sum of those near 1); offsets of tokens with a marginal over one half are reported.
 
 Training takes a bounded sample: ``MOST`` rows of each label, by a hash of the id, of at most
 ``LONGEST`` code points. Scoring reads whole texts.
@@ -76,12 +76,15 @@ class Field:
         return np.split(p, np.cumsum(sizes)[:-1])
 
     def measure(self, p: np.ndarray) -> np.ndarray:
-        return np.array([1.0, p.max(), np.log1p(p.sum())]) if p.size else np.array([1.0, 0.0, 0.0])
+        if not p.size:
+            return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+        top = np.r_[np.sort(p)[-2:][::-1], 0.0]
+        return np.array([1.0, top[0], top[1] if p.size > 1 else 0.0, np.log1p(p.sum()), np.log1p(p[p > 0.9].sum())])
 
     def score(self, ps: list[np.ndarray]) -> np.ndarray:
         if self.document is None:
             return np.zeros(len(ps))
-        z = np.array([self.measure(p) for p in ps]).reshape(-1, 3) @ self.document
+        z = np.array([self.measure(p) for p in ps]).reshape(-1, 5) @ self.document
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -182,11 +185,11 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     field.weights[used], field.bias, field.moves = w, bias, moves
     x = np.array([field.measure(p) for p in field.marginals(texts)])
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
-    theta = np.zeros(3)
+    theta = np.zeros(5)
     for _ in range(50):  # Newton steps
         s = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        hess = (x * (weight * s * (1 - s))[:, None]).T @ x / len(x) + np.eye(3) * 1e-3
-        theta = theta - np.clip(np.linalg.solve(hess, x.T @ (weight * (s - toxic)) / len(x) + 1e-3 * theta), -2, 2)
+        hess = (x * (weight * s * (1 - s))[:, None]).T @ x / len(x) + np.eye(5) * 1e-4
+        theta = theta - np.clip(np.linalg.solve(hess, x.T @ (weight * (s - toxic)) / len(x) + 1e-4 * theta), -2, 2)
     field.document = theta
     return field
 
