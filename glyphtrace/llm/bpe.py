@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding with a rank queue under a hierarchical bitmap.
 
-Each merge rank owns a bucket of linked-list positions. A bitmap of three levels of 64-bit words marks
-the buckets that hold something; find-first-set picks the next rank in a constant number of steps.
+Each merge rank owns a bucket of linked-list positions. A bitmap of two levels marks the buckets that
+hold something: words of ranks, and a word of words, each about as wide as the square root of the
+number of ranks. Find-first-set on both picks the next rank in a constant number of steps.
 Entries whose pair has changed since they were queued are skipped. A pre-token of n bytes takes
 O(n log n) whatever its length.
 
@@ -23,52 +24,43 @@ from pyspark.sql import DataFrame
 from .common import documents, map_arrow
 
 #: Encoded pre-tokens kept per Python worker, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 64
+CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
 
 
 class RankQueue:
-    """Positions by rank, taken by rank and then by position."""
+    """Positions by rank, taken by rank and then by position; empty again after every pre-token, so one serves all."""
 
     def __init__(self, ranks: int):
-        self.levels = []
-        n = max(ranks, 1)
-        while True:
-            n = (n + 63) // 64
-            self.levels.append([0] * n)
-            if n == 1:
-                break
+        self.shift = max(1, ((ranks - 1).bit_length() + 1) // 2)
+        self.words = [0] * ((ranks >> self.shift) + 1)
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is not None:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        for words in self.levels:
-            bit, rank = 1 << (rank & 63), rank >> 6
-            had, words[rank] = words[rank], words[rank] | bit
-            if had:
-                break
+        word = rank >> self.shift
+        self.words[word] |= 1 << (rank & ((1 << self.shift) - 1))
+        self.top |= 1 << word
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
+        top = self.top
+        if not top:
             return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = (rank << 6) | ((word & -word).bit_length() - 1)
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        rank = (word << self.shift) | ((bits & -bits).bit_length() - 1)
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for words in self.levels:
-                words[at >> 6] &= ~(1 << (at & 63))
-                at >>= 6
-                if words[at]:
-                    break
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        self.words[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Codec:
@@ -80,41 +72,56 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.size = max(self.ranks.values(), default=0) + 1
         self.split = regex.compile(pattern).findall
+        self.queue = RankQueue(self.size)
         self.pieces = _Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        n, ranks, queue = len(piece), self.ranks, RankQueue(self.size)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
+        n, queue = len(piece), self.queue
+        push, pop, buckets, words, shift = queue.push, queue.pop, queue.buckets, queue.words, queue.shift
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        pair = [-1] * (n + 1)
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+            r = rank_of(piece[i : i + 2])
             if r is not None:
                 pair[i] = r
-                queue.push(r, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                push(r, i)
+        while top := queue.top:
+            word = (top & -top).bit_length() - 1  # find-first-set on both levels
+            bits = words[word]
+            rank = (word << shift) | ((bits & -bits).bit_length() - 1)
+            if len(buckets[rank]) > 1:
+                rank, i = pop()
+            else:
+                i = buckets.pop(rank)[0]
+                words[word] = bits = bits & (bits - 1)
+                if not bits:
+                    queue.top = top & (top - 1)
             if pair[i] != rank:  # stale: one side was merged meanwhile
                 continue
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = -1
+            pair[gone] = pair[i] = -1
             if end < n:
                 before[end] = i
-            for left, right in ((i, end), (before[i], i)):
-                if left >= 0 and right < n:
-                    r = ranks.get(piece[left : after[right]])
-                    pair[left] = -1 if r is None else r
-                    if r is not None:
-                        queue.push(r, left)
-                elif left >= 0:
-                    pair[left] = -1
+                r = rank_of(piece[i : after[end]])
+                if r is not None:
+                    pair[i] = r
+                    push(r, i)
+            left = before[i]
+            if left >= 0:
+                r = rank_of(piece[left:end])
+                pair[left] = -1
+                if r is not None:
+                    pair[left] = r
+                    push(r, left)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
