@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, quality, secrets, simhash, toxicity, winnow
+from . import bpe, langid, media, mixing, passages, quality, secrets, simhash, toxicity, winnow
 from .common import fold, table
 
 
@@ -19,6 +19,10 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_documents(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, {"doc_id": docs["doc_id"], "held_out": held})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_secret_ownership, op4_media_columns, op5_byte_bpe, op6_winnowing, op7_toxic_spans, op8_source_mix, op9_simhash_dedup, op10_language_hd)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_secret_ownership, op3_repeated_passages, op4_media_columns, op5_byte_bpe, op6_winnowing, op7_toxic_spans, op8_source_mix, op9_simhash_dedup, op10_language_hd)}
 ORACLE = {"op8_source_mix": mixing.ORACLE}
