@@ -14,7 +14,6 @@ from .marked import text_column, text_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-T = F.col("t")
 WS = chars.WS
 
 
@@ -61,28 +60,28 @@ any_of = lambda pats, flag, names=None: "array_to_string(list_filter([" + ", ".j
 
 @query(M + "SELECT doc_id, " + ", ".join(f"{n_of(f'\\x{{{c:X}}}')} AS u{c:04x}" for c in chars.ZERO_WIDTH) + " FROM m")
 def zero_width_counts(spark, sf):
-    found = marked(spark, sf).withColumn("z", marks.zero_width(T))
+    found = marked(spark, sf).withColumn("z", marks.zero_width(F.col("t")))
     return found.select("doc_id", *(F.coalesce(F.try_element_at("z", F.lit(f"U+{c:04X}")), F.lit(0)).cast("long").alias(f"u{c:04x}") for c in chars.ZERO_WIDTH))
 
 
 @query(M + f"SELECT doc_id, {n_of(span(chars.VARIATION_SELECTORS))} AS n FROM m")
 def variation_selector_counts(spark, sf):
-    return marked(spark, sf).select("doc_id", marks.variation_selectors(T).alias("n"))
+    return marked(spark, sf).select("doc_id", marks.variation_selectors(F.col("t")).alias("n"))
 
 
 @query(M + "SELECT doc_id, array_to_string(list_filter([" + ", ".join(q(chr(c)) for c in chars.BIDI) + "], lambda c: contains(t, c)), '|') AS controls FROM m")
 def bidi_controls(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(marks.bidi_controls(T)).alias("controls"))
+    return marked(spark, sf).select("doc_id", joined(marks.bidi_controls(F.col("t"))).alias("controls"))
 
 
 @query(M + f"SELECT doc_id, array_to_string(regexp_extract_all(t, {q(span(chars.MATH_ALPHANUMERIC))}), '|') AS found FROM m")
 def math_alphanumerics(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(marks.math_alphanumerics(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(marks.math_alphanumerics(F.col("t"))).alias("found"))
 
 
 @query(M + f"SELECT doc_id, array_to_string(regexp_extract_all(t, {q(span(chars.TAG_CHARACTERS))}), '|') AS found FROM m")
 def tag_characters(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(marks.tag_characters(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(marks.tag_characters(F.col("t"))).alias("found"))
 
 
 _MAP = ", ".join(f"({q(k)}, {q(f'U+{ord(k):04X}')}, {q(v)})" for k, v in chars.homoglyphs().items())
@@ -113,22 +112,22 @@ def homoglyph_suspicious(spark, sf):
 
 @query(M + f"SELECT lang, CAST(sum({n_of('[A-Za-z0-9]')}) AS BIGINT) AS latin, CAST(sum({n_of(homoglyph.SCRIPT)}) AS BIGINT) AS script FROM m GROUP BY lang")
 def script_mix_by_lang(spark, sf):
-    return marked(spark, sf).groupBy("lang").agg(F.sum(count_of(T, homoglyph.LATIN)).alias("latin"), F.sum(count_of(T, homoglyph.SCRIPT)).alias("script"))
+    return marked(spark, sf).groupBy("lang").agg(F.sum(count_of(F.col("t"), homoglyph.LATIN)).alias("latin"), F.sum(count_of(F.col("t"), homoglyph.SCRIPT)).alias("script"))
 
 
 @query(M + f"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, {q(homoglyph.SCRIPT)}))), '|') AS letters FROM m")
 def script_characters(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(homoglyph.script_characters(T)).alias("letters"))
+    return marked(spark, sf).select("doc_id", joined(homoglyph.script_characters(F.col("t"))).alias("letters"))
 
 
 @query(M + "SELECT doc_id, len(substr(t, 1, 101)) AS n, substr(t, greatest(1, 21 - 10), 21) AS context FROM m WHERE len(t) > 40")
 def surrounding_context(spark, sf):
-    return marked(spark, sf).where(F.length("t") > 40).select("doc_id", F.length(homoglyph.surrounding_context(T, F.lit(0), 100)).cast("long").alias("n"), homoglyph.surrounding_context(T, F.lit(20), 10).alias("context"))
+    return marked(spark, sf).where(F.length("t") > 40).select("doc_id", F.length(homoglyph.surrounding_context(F.col("t"), F.lit(0), 100)).cast("long").alias("n"), homoglyph.surrounding_context(F.col("t"), F.lit(20), 10).alias("context"))
 
 
 @query(M + f"SELECT doc_id, CASE WHEN nfc_normalize(t) <> t THEN 'non_nfc' WHEN regexp_matches(t, {q(f'[{chars.DECOMPOSABLE}]')}) THEN 'non_nfd' ELSE 'normalized' END AS form FROM m")
 def normalization_form(spark, sf):
-    return marked(spark, sf).select("doc_id", marks.normal_form(T).alias("form"))
+    return marked(spark, sf).select("doc_id", marks.normal_form(F.col("t")).alias("form"))
 
 
 # ---- provenance
@@ -139,17 +138,17 @@ _SPACES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower
 
 @query(M + f"SELECT doc_id, {_SPACES} AS found FROM m")
 def c2pa_namespace(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(provenance.namespaces(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(provenance.namespaces(F.col("t"))).alias("found"))
 
 
 @query(M + f"SELECT doc_id, {any_of(chars.STRUCTURAL, ', ' + q('i'), ['pattern:' + p for p in chars.STRUCTURAL])} AS found FROM m")
 def c2pa_structural(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(provenance.structural(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(provenance.structural(F.col("t"))).alias("found"))
 
 
 @query(M + f", f AS (SELECT doc_id, t, {_SPACES} || {any_of(chars.STRUCTURAL, ', ' + q('i'))} AS x FROM m) SELECT doc_id, CASE WHEN x = '' THEN '' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(t), {q(k)}) THEN {q(k)} END" for k in chars.LEGACY) + "], lambda x: x IS NOT NULL), '|') END AS found FROM f")
 def c2pa_legacy(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(provenance.legacy(T, provenance.findings(T))).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(provenance.legacy(F.col("t"), provenance.findings(F.col("t")))).alias("found"))
 
 
 # ---- sentences and words
@@ -163,19 +162,19 @@ y AS (SELECT doc_id, n, CASE WHEN n >= 2 THEN total END AS total, CASE WHEN n >=
 
 @query(D + _SENT + "SELECT doc_id, n, total, spread, round(total / n, 6) AS mean, median, round(sqrt(spread / (n * (n - 1))), 6) AS sd FROM y")
 def sentence_stats(spark, sf):
-    found = plain(spark, sf).select("doc_id", lexical.sentence_stats(lexical.sentence_lengths(T)).alias("s"))
+    found = plain(spark, sf).select("doc_id", lexical.sentence_stats(lexical.sentence_lengths(F.col("t"))).alias("s"))
     return found.select("doc_id", "s.n", "s.total", "s.spread", F.round("s.mean", 6).alias("mean"), "s.median", F.round("s.sd", 6).alias("sd"))
 
 
 @query(D + _SENT + "SELECT doc_id, n, spread FROM y WHERE spread > 0 AND spread < 25 * n * (n - 1)")
 def low_variance_docs(spark, sf):
-    found = plain(spark, sf).select("doc_id", lexical.sentence_stats(lexical.sentence_lengths(T)).alias("s"))
+    found = plain(spark, sf).select("doc_id", lexical.sentence_stats(lexical.sentence_lengths(F.col("t"))).alias("s"))
     return found.where("s.spread > 0 AND s.spread < 25 * s.n * (s.n - 1)").select("doc_id", "s.n", "s.spread")
 
 
 @query(D + f", w AS (SELECT doc_id, {words_sql()} AS w FROM m) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, round(len(list_distinct(w)) / nullif(len(w), 0), 6) AS ttr FROM w")
 def ttr(spark, sf):
-    w = plain(spark, sf).select("doc_id", words(T).alias("w"))
+    w = plain(spark, sf).select("doc_id", words(F.col("t")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.round(lexical.ttr(F.col("w")), 6).alias("ttr"))
 
 
@@ -188,13 +187,13 @@ a AS (SELECT doc_id, n, CAST(sum(greatest(0, least(j, n - 100) - greatest(0, j -
 
 @query(D + _MATTR + "SELECT doc_id, CAST(n AS BIGINT) AS n_words, round(total / (100 * (n - 99)), 6) AS mattr FROM a")
 def mattr(spark, sf):
-    w = plain(spark, sf).select("doc_id", words(T).alias("w")).where(F.size("w") > 100)
+    w = plain(spark, sf).select("doc_id", words(F.col("t")).alias("w")).where(F.size("w") > 100)
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.round(lexical.mattr(F.col("w")), 6).alias("mattr"))
 
 
 @query(D + _MATTR + ", d AS (SELECT doc_id, len(list_distinct(w)) / len(w) AS ttr FROM w WHERE len(w) > 1000) SELECT doc_id, ttr < 0.45 AS low_ttr, total / (100 * (n - 99)) < 0.55 AS low_mattr FROM a JOIN d USING (doc_id)")
 def low_diversity_docs(spark, sf):
-    w = plain(spark, sf).select("doc_id", words(T).alias("w")).where(F.size("w") > 1000)
+    w = plain(spark, sf).select("doc_id", words(F.col("t")).alias("w")).where(F.size("w") > 1000)
     return w.select("doc_id", (lexical.ttr(F.col("w")) < 0.45).alias("low_ttr"), (lexical.mattr(F.col("w")) < 0.55).alias("low_mattr"))
 
 
@@ -206,13 +205,13 @@ g AS (SELECT doc_id, ngram, CAST(count(*) AS BIGINT) AS n, CAST(min(j) AS INTEGE
 
 @query(D + _GRAMS + "SELECT doc_id, ngram, n, first FROM g")
 def repeated_trigrams(spark, sf):
-    found = plain(spark, sf).select("doc_id", F.explode(lexical.repeated_ngrams(words(T))).alias("g"))
+    found = plain(spark, sf).select("doc_id", F.explode(lexical.repeated_ngrams(words(F.col("t")))).alias("g"))
     return found.select("doc_id", "g.ngram", F.col("g.count").alias("n"), "g.first")
 
 
 @query(D + _GRAMS + "SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS occurrences FROM g JOIN m USING (doc_id) GROUP BY source")
 def repetition_summary(spark, sf):
-    found = plain(spark, sf).select("source", lexical.repeated_ngrams(words(T)).alias("g")).where(F.size("g") > 0)
+    found = plain(spark, sf).select("source", lexical.repeated_ngrams(words(F.col("t"))).alias("g")).where(F.size("g") > 0)
     return found.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["count"])).alias("occurrences"))
 
 
@@ -223,13 +222,13 @@ _HEAD = f", h AS (SELECT doc_id, regexp_extract_all(t, {q('(?m)' + structure.HEA
 
 @query(M + _HEAD + "SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(level AS INTEGER) AS level, title FROM e")
 def heading_outline(spark, sf):
-    found = marked(spark, sf).select("doc_id", F.posexplode(structure.headings(T)).alias("i", "h"))
+    found = marked(spark, sf).select("doc_id", F.posexplode(structure.headings(F.col("t"))).alias("i", "h"))
     return found.select("doc_id", "i", "h.level", "h.title")
 
 
 @query(M + _HEAD + ", l AS (SELECT doc_id, i, level, lag(level, 1, 6) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM e) SELECT doc_id, CAST(sum(CAST(level > prev + 1 AS INT) + CAST(i = 0 AND level <> 1 AS INT)) AS BIGINT) AS issues, CAST(count(*) AS BIGINT) AS headings FROM l GROUP BY doc_id")
 def heading_issues(spark, sf):
-    found = marked(spark, sf).select("doc_id", structure.headings(T).alias("h")).where(F.size("h") > 0)
+    found = marked(spark, sf).select("doc_id", structure.headings(F.col("t")).alias("h")).where(F.size("h") > 0)
     return found.select("doc_id", structure.heading_issues(F.col("h")).alias("issues"), F.size("h").cast("long").alias("headings"))
 
 
@@ -238,12 +237,12 @@ _LIST = f"CASE WHEN len(list_distinct(regexp_extract_all(t, {q('(?m)' + structur
 
 @query(M + f"SELECT doc_id, {_LIST} AS lists FROM m")
 def list_uniformity(spark, sf):
-    return marked(spark, sf).select("doc_id", structure.list_uniformity(T).alias("lists"))
+    return marked(spark, sf).select("doc_id", structure.list_uniformity(F.col("t")).alias("lists"))
 
 
 @query(M + f"SELECT doc_id, CAST(len(regexp_extract_all(t, {q('(?m)' + structure.ORDERED)}, 1)) AS BIGINT) AS items FROM m")
 def ordered_lists(spark, sf):
-    return marked(spark, sf).select("doc_id", F.size(structure.ordered_items(T)).cast("long").alias("items"))
+    return marked(spark, sf).select("doc_id", F.size(structure.ordered_items(F.col("t"))).cast("long").alias("items"))
 
 
 _CODE = f"{n_of(structure.TAGGED)} AS tagged, {n_of(structure.UNTAGGED)} AS untagged"
@@ -251,7 +250,7 @@ _CODE = f"{n_of(structure.TAGGED)} AS tagged, {n_of(structure.UNTAGGED)} AS unta
 
 @query(M + f", c AS (SELECT doc_id, {_CODE} FROM m) SELECT doc_id, tagged, untagged, round(tagged / nullif(tagged + untagged, 0), 6) AS ratio FROM c")
 def code_block_ratio(spark, sf):
-    found = marked(spark, sf).select("doc_id", structure.code_blocks(T).alias("b"))
+    found = marked(spark, sf).select("doc_id", structure.code_blocks(F.col("t")).alias("b"))
     return found.select("doc_id", "b.tagged", "b.untagged", F.round(structure.tagged_ratio(F.col("b")), 6).alias("ratio"))
 
 
@@ -261,7 +260,7 @@ _SPACING = f"CAST(list_sum(list_transform({_LINES}, lambda l: CAST(NOT regexp_ma
 
 @query(M + f"SELECT doc_id, {_SPACING} AS issues, CAST(len({_LINES}) AS BIGINT) AS n_lines FROM m")
 def spacing_issues(spark, sf):
-    return marked(spark, sf).select("doc_id", structure.spacing_issues(T).alias("issues"), structure.lines(T).cast("long").alias("n_lines"))
+    return marked(spark, sf).select("doc_id", structure.spacing_issues(F.col("t")).alias("issues"), structure.lines(F.col("t")).cast("long").alias("n_lines"))
 
 
 # ---- artifacts
@@ -269,17 +268,17 @@ def spacing_issues(spark, sf):
 
 @query(M + f"SELECT doc_id, {any_of(chars.PROMPTS, ', ' + q('i'))} AS found FROM m")
 def prompt_leakage_hits(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(artifacts.prompt_leakage(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(artifacts.prompt_leakage(F.col("t"))).alias("found"))
 
 
 @query(M + f"SELECT doc_id, {any_of(chars.END_TOKENS, '')} AS found FROM m")
 def eos_hits(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(artifacts.end_tokens(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(artifacts.end_tokens(F.col("t"))).alias("found"))
 
 
 @query(M + f"SELECT doc_id, {any_of(chars.ATTRIBUTION, ', ' + q('i'))} AS found FROM m")
 def attribution_hits(spark, sf):
-    return marked(spark, sf).select("doc_id", joined(artifacts.attribution(T)).alias("found"))
+    return marked(spark, sf).select("doc_id", joined(artifacts.attribution(F.col("t"))).alias("found"))
 
 
 @query("SELECT page_id, " + any_of(["<metadata", "<!--", r"\bdata-[a-z0-9-]+=", 'name="generator"'], ", 'i'", ["metadata", "comment", "data_attribute", "generator"]) + " AS found FROM (SELECT page_id, html AS t FROM pages)")
@@ -378,8 +377,8 @@ def _page_marks(key: str, table: str, col: str) -> str:
 
 
 def _marks_of(df, *keys):
-    invisible = count_of(T, f"[{chars.class_of(chars.ZERO_WIDTH)}]")
-    return df.select(*keys, joined(artifacts.prompt_leakage(T)).alias("prompts"), joined(artifacts.end_tokens(T)).alias("end_tokens"), invisible.alias("invisible"))
+    invisible = count_of(F.col("t"), f"[{chars.class_of(chars.ZERO_WIDTH)}]")
+    return df.select(*keys, joined(artifacts.prompt_leakage(F.col("t"))).alias("prompts"), joined(artifacts.end_tokens(F.col("t"))).alias("end_tokens"), invisible.alias("invisible"))
 
 
 @query(_page_marks("page_id", "pages", "html"))
@@ -394,7 +393,7 @@ def conversation_marks(spark, sf):
 
 @query(D + f", w AS (SELECT doc_id, list_filter(string_split_regex(t, '[{WS}]+'), lambda w: w <> '') AS w FROM m), c AS (SELECT doc_id, w, unnest(range(0, len(w), 500)) AS i FROM w) SELECT doc_id, CAST(i // 500 AS INTEGER) AS chunk_idx, array_to_string(w[i + 1 : i + 500], ' ') AS chunk FROM c")
 def chunk_500(spark, sf):
-    return plain(spark, sf).select("doc_id", F.posexplode(advanced.chunks(T, 500)).alias("chunk_idx", "chunk"))
+    return plain(spark, sf).select("doc_id", F.posexplode(advanced.chunks(F.col("t"), 500)).alias("chunk_idx", "chunk"))
 
 
 @query("WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT a.label, CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_cosine_similarity(a.e, b.e) END AS c FROM v a JOIN v b ON a.label = b.label) SELECT label, CAST(round(sqrt(count(*))) AS BIGINT) AS n, round(avg(c), 4) AS clustering FROM p GROUP BY label")
@@ -427,7 +426,7 @@ def ngram_kl_vs_baseline(spark, sf):
 
 @query(D + _SENT + f", w AS (SELECT doc_id, {words_sql()} AS w FROM m), x AS (SELECT lang, sqrt(spread / (y.n * (y.n - 1))) AS sd, len(list_distinct(w)) / nullif(len(w), 0) AS ttr FROM m JOIN y USING (doc_id) JOIN w USING (doc_id)) SELECT lang, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_sd, round(avg({m}) - 2 * stddev_samp({m}), 6) AS {m}_threshold" for m in ("sd", "ttr")) + " FROM x GROUP BY lang")
 def baseline_thresholds(spark, sf):
-    rows = plain(spark, sf).select("lang", lexical.sentence_stats(lexical.sentence_lengths(T))["sd"].alias("sd"), lexical.ttr(words(T)).alias("ttr"))
+    rows = plain(spark, sf).select("lang", lexical.sentence_stats(lexical.sentence_lengths(F.col("t")))["sd"].alias("sd"), lexical.ttr(words(F.col("t"))).alias("ttr"))
     out = corpus.thresholds(rows, ["lang"], ["sd", "ttr"])
     return out.select("lang", *(F.round(c, 6).alias(c) for c in out.columns if c != "lang"))
 
@@ -441,7 +440,7 @@ def unigram_perplexity(spark, sf):
 
 @query(D + f", w AS (SELECT doc_id, {words_sql()} AS w FROM m), e AS (SELECT DISTINCT unnest(w) AS entity FROM w), k AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[{WS}]+'), lambda w: w <> '')) AS entity FROM benchmark) SELECT entity FROM e ANTI JOIN k USING (entity)")
 def unknown_entities(spark, sf):
-    found = plain(spark, sf).select(F.explode(words(T)).alias("entity")).distinct()
+    found = plain(spark, sf).select(F.explode(words(F.col("t"))).alias("entity")).distinct()
     known = load(spark, sf, "benchmark").select(F.explode(words(F.col("text"))).alias("entity")).distinct()
     return corpus.unknown_entities(found, known, "entity")
 
