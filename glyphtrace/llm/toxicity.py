@@ -156,10 +156,9 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     if toxic.sum() == 0 or toxic.sum() == len(toxic):
         return field
     marks = token_labels(texts, toxic)
-    tokens = [w for t in texts for w in t.split()]
-    sizes = np.array([len(t.split()) for t in texts])
-    kinds = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-    kind = np.fromiter((kinds[w] for w in tokens), np.int64, len(tokens))
+    kinds: dict[str, int] = {}
+    each_text = [np.array([kinds.setdefault(w, len(kinds)) for w in t.split()], np.int32) for t in texts]
+    sizes, kind = np.array([len(k) for k in each_text]), np.concatenate(each_text)
     marked = np.array([bool(marks.intersection(parts(form(w)))) for w in kinds], bool)
     tag = marked[kind] & np.repeat(toxic.astype(bool), sizes)
     ends = np.array([w[-1] in ".!?" for w in kinds], bool)[kind]
@@ -167,7 +166,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     owner, slot = np.repeat(np.arange(len(each)), [len(s) for s in each]), np.array([s for x in each for s in x], np.int64)
     used, slot = np.unique(slot, return_inverse=True)
     start, length = layout(ends, sizes)
-    last = np.zeros(len(tokens), bool)
+    last = np.zeros(kind.size, bool)
     last[start + length - 1] = True
     inner = np.flatnonzero(~last)
     moved = np.bincount(tag[inner] * 2 + tag[inner + 1], minlength=4).reshape(2, 2) + 1.0
@@ -183,7 +182,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - change[:-1], bias - change[-1]
     field.weights[used], field.bias, field.moves = w, bias, moves
-    x = np.array([field.measure(p) for p in field.marginals(texts)])
+    p = chains((np.bincount(owner, w[slot], len(each)) + bias)[kind], ends, sizes, moves)
+    x = np.array([field.measure(q) for q in np.split(p, np.cumsum(sizes)[:-1])])
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     theta = np.zeros(5)
     for _ in range(50):  # Newton steps
