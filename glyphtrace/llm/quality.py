@@ -99,13 +99,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def sample(docs: DataFrame, most: int) -> np.ndarray:
-    """Measures of up to ``most`` rows of ``doc_id, text``, the first by a hash of the id."""
-    ids = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """Measures of up to ``most`` rows of ``doc_id, text``, the first by a hash of the id. Texts are measured where they
+    are read; only measures are moved and ordered."""
 
     def run(batch):
-        return {"x": [list(map(float, measures(t))) for t in batch.column("text").to_pylist()]}
+        return {"k": batch.column("k"), "x": [list(map(float, measures(t))) for t in batch.column("text").to_pylist()]}
 
-    rows = map_arrow(ids, run, "x array<double>").collect()
+    measured = map_arrow(docs.select(F.xxhash64("doc_id").alias("k"), "text"), run, "k long, x array<double>")
+    rows = measured.orderBy("k", "x").limit(most).collect()
     return np.array([r["x"] for r in rows]) if rows else np.zeros((0, 19))
 
 
