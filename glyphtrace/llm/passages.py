@@ -19,6 +19,8 @@ are kept; without repeats the result is empty.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -143,11 +145,12 @@ def shared(x: np.ndarray, y: np.ndarray, least: int = LEAST - SHINGLE + 1, simil
         for i, j in zip(hit[np.r_[0, cut + 1]].tolist(), hit[np.r_[cut, hit.size - 1]].tolist()):
             if j - i + 1 < least or any(a <= i and j <= b for a, b, _, _ in out):
                 continue
-            for p in where[int(x[i])][:64]:
-                ends = where[int(x[j])]
-                q = min(ends, key=lambda e: abs(e - p - (j - i)))
+            u, ends = set(x[i : j + 1].tolist()), where[int(x[j])]
+            for p in where[int(x[i])]:
+                at = bisect_left(ends, p + j - i)
+                q = min(ends[max(at - 1, 0) : at + 1], key=lambda e: abs(e - p - (j - i)))
                 if q - p + 1 >= least:
-                    u, v = set(x[i : j + 1].tolist()), set(y[p : q + 1].tolist())
+                    v = set(y[p : q + 1].tolist())
                     if len(u & v) >= similar * len(u | v):
                         out.append((i, j, p, q))
                         break
