@@ -10,7 +10,9 @@ similarity of ``SIMILAR`` or more are repeats.
 
 Windows of one hash are streamed in order of their texts; each text is linked with the first and with
 the one before it, so a passage that many texts share gives two links a text, never all pairs, and no
-group is ever held whole. Exact copies share a text's number and are linked by it.
+group is ever held whole. Where unrelated texts have the same smallest shingle, the same rows are streamed
+twice more, grouped by the shingle that follows it or goes before it as well, so that texts that agree
+in ten words meet whatever stands between them. Exact copies share a text's number and are linked by it.
 
 Cases: null and empty texts and texts under ``LEAST`` words have no passages; a repeat inside one text
 does not count; rows of equal text are copies of each other even if their ids are equal; null ids
@@ -20,6 +22,7 @@ are kept; without repeats the result is empty.
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -76,13 +79,14 @@ def windows(h: np.ndarray, least: int, ties: bool) -> list[tuple[int, int, int]]
 
 
 def _emit(batch: pa.RecordBatch, least: int, hashes: int) -> pa.RecordBatch:
-    keys, places, texts = [], [], []
+    keys, places, texts, after, before = [], [], [], [], []
     reach = (1 << REACH) - 1
     for tid, text in zip(batch.column("tid").to_numpy(), batch.column("text").to_pylist()):
         s = shingles(text)
         if s.size < least:
             continue
         ties = np.unique(s).size < s.size
+        near = np.r_[np.zeros(SHINGLE, np.int32), (s >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(SHINGLE, np.int32)]
         for k in range(hashes):
             h = mixed(s, k + 1)
             w = np.array(windows(h, least, ties), np.int64)
@@ -90,8 +94,10 @@ def _emit(batch: pa.RecordBatch, least: int, hashes: int) -> pa.RecordBatch:
             keys.append(h[c].view(np.int64) & ~7 | k)
             places.append(c << 2 * REACH | np.minimum(c - w[:, 0], reach) << REACH | np.minimum(w[:, 2] - c, reach))
             texts.append(np.full(c.size, tid))
-    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, texts, places)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "tid", "at"])
+            after.append(near[c + 2 * SHINGLE])
+            before.append(near[c])
+    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, texts, places, after, before)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], ["key", "tid", "at", "after", "before"])
 
 
 def _unpack(at):
@@ -99,13 +105,26 @@ def _unpack(at):
     return c - (at >> REACH & (1 << REACH) - 1), c + (at & (1 << REACH) - 1)
 
 
-def _meet(batches):
-    """From windows in order of ``key, tid``: links to the first and to the former text of the same key, with both intervals."""
+def _mixed_runs(key: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Rows of keys that have several neighbours, and of the first and last key, which may go on beyond the batch."""
+    run = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    several = np.minimum.reduceat(near, run) != np.maximum.reduceat(near, run)
+    several[[0, -1]] = True
+    return np.repeat(several, np.diff(np.r_[run, key.size]))
+
+
+def _meet(batches, side: str = ""):
+    """From windows in order of ``key, tid``: links to the first and to the former text of the same key, with both
+    intervals. With a ``side``, in order of ``key, side, tid``: the same inside keys that have several neighbours there."""
     first = last = (None, None, None)
     for batch in batches:
         key, tid, at = (batch.column(i).to_numpy() for i in range(3))
         if not key.size:
             continue
+        if side:
+            near = batch.column(side).to_numpy().astype(np.int64)
+            rows = _mixed_runs(key, near)
+            key, tid, at = key[rows] ^ near[rows] << 3, tid[rows], at[rows]  # the three bits of the hash's number stay
         new = np.r_[True, (key[1:] != key[:-1]) | (tid[1:] != tid[:-1])]
         new[0] = (key[0], tid[0]) != last[:2]
         if last[0] is not None:  # what came before stands in front
@@ -172,8 +191,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     """``a, b`` (numbers of texts) with verified word intervals ``sa, ea`` and ``sb, eb`` (ends excluded)."""
     least = LEAST - SHINGLE + 1
     texts = documents(docs, id_col, text_col).select(F.xxhash64("text").alias("tid"), "text")
-    spread = texts.mapInArrow(lambda it: (_emit(p, least, hashes) for b in it for p in slices(b)), "key long, tid long, at long")
-    met = spread.repartition("key").sortWithinPartitions("key", "tid", "at").mapInArrow(_meet, "a long, b long, hash long, la long, ra long, lb long, rb long")
+    spread = texts.mapInArrow(lambda it: (_emit(p, least, hashes) for b in it for p in slices(b)), "key long, tid long, at long, after int, before int")
+    dealt, link = spread.repartition("key"), "a long, b long, hash long, la long, ra long, lb long, rb long"  # one exchange, read three times
+    met = dealt.sortWithinPartitions("key", "tid", "at").mapInArrow(_meet, link)
+    for side in ("after", "before"):
+        met = met.union(dealt.sortWithinPartitions("key", side, "tid", "at").mapInArrow(partial(_meet, side=side), link))
     pairs = met.groupBy("a", "b").agg(F.bit_or("hash").alias("hashes"), *(f(c).alias(c) for f, c in ((F.min, "la"), (F.max, "ra"), (F.min, "lb"), (F.max, "rb"))))
     pairs = materialize(pairs.where(F.bit_count("hashes") >= enough))
     need = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()

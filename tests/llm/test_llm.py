@@ -369,6 +369,21 @@ def test_passages_found_and_clean_left_alone(docs):
     assert a <= 20 and b >= 88
 
 
+def test_passage_around_a_phrase_that_unrelated_texts_share(spark):
+    r = np.random.default_rng(9)
+    some = lambda n: [f"w{i}" for i in r.integers(0, 5000, n)]
+    words = some(400_000)
+    h = np.stack([passages.mixed(passages.shingles(" ".join(words)), k + 1) for k in range(passages.HASHES)])
+    at = int(np.sort(h, axis=0)[2].argmin())  # a phrase that is the smallest of most windows under three hashes
+    phrase = words[at : at + passages.SHINGLE]
+    low = lambda p: sum(int(passages.mixed(passages.shingles(" ".join(p)), k + 1).argmin()) == left for k in range(passages.HASHES))
+    for left, right in ((24, 24), (23, 25), (25, 23)):
+        passage = next(p for p in (some(left) + phrase + some(right) for _ in range(1000)) if low(p) == 3)
+        texts = [some(3) + passage + some(3) for _ in range(2)] + [some(50) + phrase + some(50) for _ in range(60)]
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert {x["doc_id"]: x["component_id"] for x in passages.repeated_passages(docs).collect()} == {0: 0, 1: 0}
+
+
 def test_every_place_of_a_frequent_shingle_is_tried():
     passage = np.arange(1, 61, dtype=np.int32)
     noise = np.arange(1000, 1400, dtype=np.int32)
