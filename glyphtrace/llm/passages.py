@@ -8,11 +8,9 @@ texts whose windows meet in ``ENOUGH`` of ``HASHES`` functions are candidates; t
 compared shingle by shingle, and passages of at least ``LEAST`` words whose shingle sets have a Jaccard
 similarity of ``SIMILAR`` or more are repeats.
 
-Windows of one hash are streamed in order of their texts; each text is linked with the first and with
-the one before it, so a passage that many texts share gives two links a text, never all pairs, and no
-group is ever held whole. Where unrelated texts have the same smallest shingle, the same rows are streamed
-twice more, grouped by the shingle that follows it or goes before it as well, so that texts that agree
-in ten words meet whatever stands between them. Exact copies share a text's number and are linked by it.
+All texts of a key are paired, so links and their counts are exact for the candidates: the work grows with
+the square of the number of different texts that share a window. Large keys are dealt over pairs of blocks
+and never held whole. Exact copies share a text's number and are linked by it.
 
 Cases: null and empty texts and texts under ``LEAST`` words have no passages; a repeat inside one text
 does not count; rows of equal text are copies of each other even if their ids are equal; null ids
@@ -22,7 +20,6 @@ are kept; without repeats the result is empty.
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +33,8 @@ from .simhash import components
 SHINGLE, LEAST, HASHES, ENOUGH, SIMILAR = 5, 50, 4, 2, 0.8
 #: Texts whose shingles are fetched by a broadcast of their numbers; more are fetched by a shuffled join.
 BROADCAST_TEXTS = 500_000
+#: Windows of a key that one task pairs; larger keys go to pairs of blocks.
+GROUP = 2_000
 #: Bits of a window's reach to either side of its smallest hash; a longer reach is cut, which keeps it a valid window.
 REACH = 17
 
@@ -79,14 +78,13 @@ def windows(h: np.ndarray, least: int, ties: bool) -> list[tuple[int, int, int]]
 
 
 def _emit(batch: pa.RecordBatch, least: int, hashes: int) -> pa.RecordBatch:
-    keys, places, texts, after, before = [], [], [], [], []
+    keys, places, texts = [], [], []
     reach = (1 << REACH) - 1
     for tid, text in zip(batch.column("tid").to_numpy(), batch.column("text").to_pylist()):
         s = shingles(text)
         if s.size < least:
             continue
         ties = np.unique(s).size < s.size
-        near = np.r_[np.zeros(SHINGLE, np.int32), (s >> np.uint64(32)).astype(np.uint32).view(np.int32), np.zeros(SHINGLE, np.int32)]
         for k in range(hashes):
             h = mixed(s, k + 1)
             w = np.array(windows(h, least, ties), np.int64)
@@ -94,10 +92,8 @@ def _emit(batch: pa.RecordBatch, least: int, hashes: int) -> pa.RecordBatch:
             keys.append(h[c].view(np.int64) & ~7 | k)
             places.append(c << 2 * REACH | np.minimum(c - w[:, 0], reach) << REACH | np.minimum(w[:, 2] - c, reach))
             texts.append(np.full(c.size, tid))
-            after.append(near[c + 2 * SHINGLE])
-            before.append(near[c])
-    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, texts, places, after, before)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], ["key", "tid", "at", "after", "before"])
+    cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, texts, places)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "tid", "at"])
 
 
 def _unpack(at):
@@ -105,49 +101,48 @@ def _unpack(at):
     return c - (at >> REACH & (1 << REACH) - 1), c + (at & (1 << REACH) - 1)
 
 
-def _mixed_runs(key: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Rows of keys that have several neighbours, and of the first and last key, which may go on beyond the batch."""
-    run = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    several = np.minimum.reduceat(near, run) != np.maximum.reduceat(near, run)
-    several[[0, -1]] = True
-    return np.repeat(several, np.diff(np.r_[run, key.size]))
-
-
-def _meet(batches, side: str = ""):
-    """From windows in order of ``key, tid``: links to the first and to the former text of the same key, with both
-    intervals. With a ``side``, in order of ``key, side, tid``: the same inside keys that have several neighbours there."""
-    first = last = (None, None, None)
+def _link(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Links between rows ``i`` and ``j``; rows that carry a block meet only those of another."""
+    key, tid, l, r, block = rows
+    meet = (block[i] < 0) | (block[i] != block[j])
+    i, j = i[meet], j[meet]
+    swap = tid[i] > tid[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    cols = [tid[a], tid[b], 1 << (key[a] & 7), l[a], r[a], l[b], r[b]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["a", "b", "hash", "la", "ra", "lb", "rb"])
+
+
+def _pairs(rows: list[np.ndarray], most: int = 1 << 17):
+    """All pairs of texts of each key; windows of one text under one key count as one that spans them."""
+    key, tid, l, r, block = rows
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tid[1:] != tid[:-1])])
+    rows = key, tid, l, r, block = key[new], tid[new], np.minimum.reduceat(l, new), np.maximum.reduceat(r, new), block[new]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, key.size])
+    for n in np.unique(size[size > 1]).tolist():
+        at, (i, j) = start[size == n], np.triu_indices(n, 1)
+        for lo in range(0, at.size, step := max(1, most // i.size)):
+            some = at[lo : lo + step, None]
+            for k in range(0, i.size, most):
+                yield _link(rows, (some + i[k : k + most]).ravel(), (some + j[k : k + most]).ravel())
+
+
+def _meet(batches):
+    """From windows in order of ``key, tid``: links between all texts of a key, with both intervals."""
+    held = None
     for batch in batches:
-        key, tid, at = (batch.column(i).to_numpy() for i in range(3))
-        if not key.size:
+        if not batch.num_rows:
             continue
-        if side:
-            near = batch.column(side).to_numpy().astype(np.int64)
-            rows = _mixed_runs(key, near)
-            key, tid, at = key[rows] ^ near[rows] << 3, tid[rows], at[rows]  # the three bits of the hash's number stay
-        new = np.r_[True, (key[1:] != key[:-1]) | (tid[1:] != tid[:-1])]
-        new[0] = (key[0], tid[0]) != last[:2]
-        if last[0] is not None:  # what came before stands in front
-            key, tid, at, new = np.r_[last[0], key], np.r_[last[1], tid], np.r_[last[2], at], np.r_[True, new]
-        key, tid, at = key[new], tid[new], at[new]
-        start = np.r_[True, key[1:] != key[:-1]]
-        head = np.maximum.accumulate(np.where(start, np.arange(key.size), 0))
-        if first[0] is not None and key[0] == first[0]:
-            tid, at, key = np.r_[first[1], tid], np.r_[first[2], at], np.r_[first[0], key]
-            start = np.r_[True, False, start[1:]]
-            head = np.r_[0, np.where(head == 0, 0, head + 1)]
-        here = np.flatnonzero(~start)
-        pairs = np.unique(np.r_[np.stack([head[here], here], 1), np.stack([here - 1, here], 1)], axis=0) if here.size else np.zeros((0, 2), np.int64)
-        pairs = pairs[tid[pairs[:, 0]] != tid[pairs[:, 1]]]
-        a, b = pairs.T
-        swap = tid[a] > tid[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        la, ra = _unpack(at[a])
-        lb, rb = _unpack(at[b])
-        cols = [tid[a], tid[b], 1 << (key[a] & 7), la, ra, lb, rb]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["a", "b", "hash", "la", "ra", "lb", "rb"])
-        i = int(head[-1])
-        first, last = (int(key[i]), int(tid[i]), int(at[i])), (int(key[-1]), int(tid[-1]), int(at[-1]))
+        key, tid, at, block = (batch.column(c).to_numpy() for c in ("key", "tid", "at", "block"))
+        rows = [key, tid, *_unpack(at), block]
+        if held:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
+        held = [x[last:] for x in rows]
+        if last:
+            yield from _pairs([x[:last] for x in rows])
+    if held:
+        yield from _pairs(held)
 
 
 def shared(x: np.ndarray, y: np.ndarray, least: int = LEAST - SHINGLE + 1, similar: float = SIMILAR) -> list[tuple[int, int, int, int]]:
@@ -187,15 +182,21 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "sa", "ea", "sb", "eb"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, enough: int = ENOUGH, group: int = GROUP) -> DataFrame:
     """``a, b`` (numbers of texts) with verified word intervals ``sa, ea`` and ``sb, eb`` (ends excluded)."""
     least = LEAST - SHINGLE + 1
     texts = documents(docs, id_col, text_col).select(F.xxhash64("text").alias("tid"), "text")
-    spread = texts.mapInArrow(lambda it: (_emit(p, least, hashes) for b in it for p in slices(b)), "key long, tid long, at long, after int, before int")
-    dealt, link = spread.repartition("key"), "a long, b long, hash long, la long, ra long, lb long, rb long"  # one exchange, read three times
-    met = dealt.sortWithinPartitions("key", "tid", "at").mapInArrow(_meet, link)
-    for side in ("after", "before"):
-        met = met.union(dealt.sortWithinPartitions("key", side, "tid", "at").mapInArrow(partial(_meet, side=side), link))
+    spread = texts.mapInArrow(lambda it: (_emit(p, least, hashes) for b in it for p in slices(b)), "key long, tid long, at long")
+    dealt, link = spread.repartition("key"), "a long, b long, hash long, la long, ra long, lb long, rb long"
+    large = materialize(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    few = dealt.join(large.select("key"), "key", "left_anti").select("key", "tid", "at", F.lit(-1).cast("long").alias("block"))
+    met = few.sortWithinPartitions("key", "tid").mapInArrow(_meet, link)
+    if large.limit(1).count():  # blocks of half a group, every pair of blocks in a task of its own
+        block = dealt.join(large, "key").withColumn("n", (F.col("n") * 2 / group + 1).cast("long")).withColumn("i", F.pmod(F.xxhash64("tid"), F.col("n")))
+        block = block.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        name = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).bitwiseAND(F.lit(~7)).bitwiseOR(F.col("key").bitwiseAND(F.lit(7)))
+        block = block.select(name.alias("key"), "tid", "at", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i")).cast("long").alias("block"))
+        met = met.union(block.repartition("key").sortWithinPartitions("key", "tid").mapInArrow(_meet, link))
     pairs = met.groupBy("a", "b").agg(F.bit_or("hash").alias("hashes"), *(f(c).alias(c) for f, c in ((F.min, "la"), (F.max, "ra"), (F.min, "lb"), (F.max, "rb"))))
     pairs = materialize(pairs.where(F.bit_count("hashes") >= enough))
     need = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()

@@ -384,6 +384,23 @@ def test_passage_around_a_phrase_that_unrelated_texts_share(spark):
         assert {x["doc_id"]: x["component_id"] for x in passages.repeated_passages(docs).collect()} == {0: 0, 1: 0}
 
 
+def test_all_texts_that_share_a_passage_are_linked(spark):
+    r = np.random.default_rng(12)
+    some = lambda n: [f"w{i}" for i in r.integers(0, 100_000, n)]
+    passage = some(70)
+    texts = [some(10) + passage + some(10) for _ in range(9)] + [some(90) for _ in range(3)]
+    family = some(120)
+    for at in range(5, 115, 20):  # near copies of one text, each with a word of its own
+        texts.append(family[:at] + some(1) + family[at + 1 :])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    h = [passages.shingles(" ".join(t)) for t in texts]
+    links = Counter(i for i in range(len(texts)) for j in range(len(texts)) if i != j and passages.shared(h[i], h[j]))
+    got = {x["doc_id"]: (x["component_id"], x["n_links"]) for x in passages.repeated_passages(docs).collect()}
+    assert got == {i: (0 if i < 9 else 12, n) for i, n in links.items()} and links[0] == 8 and links[12] == 5
+    whole = {(x["a"], x["b"]) for x in passages.repeats(docs).collect()}
+    assert {(x["a"], x["b"]) for x in passages.repeats(docs, group=4).collect()} == whole and len(whole) == 9 * 8 // 2 + 6 * 5 // 2
+
+
 def test_every_place_of_a_frequent_shingle_is_tried():
     passage = np.arange(1, 61, dtype=np.int32)
     noise = np.arange(1000, 1400, dtype=np.int32)
