@@ -168,9 +168,49 @@ def shared(x: np.ndarray, y: np.ndarray, least: int = LEAST - SHINGLE + 1, simil
                     if len(u & v) >= similar * len(u | v):
                         out.append((i, j, p, q))
                         break
+    return out + _inside(x, y, hit, where, out, least, similar)
+
+
+def _inside(x, y, hit, where, found, least: int, similar: float) -> list[tuple[int, int, int, int]]:
+    """What ``shared`` misses in whole runs: intervals from the start of any exact run to the end of any other, longest
+    first and none inside another. Those short of ``least`` tokens are filled up on either side."""
+    two = lambda z: z[:-1].astype(np.int64) << 32 ^ z[1:].astype(np.int64)
+    cut = np.flatnonzero((np.diff(hit) > 1) | ~np.isin(two(x), two(y))[hit[:-1]])  # an exact run goes on in both
+    first, last = hit[np.r_[0, cut + 1]], hit[np.r_[cut, hit.size - 1]]
+    # Without repeats inside a text, shared tokens can be counted up to any place, which rules most intervals out.
+    count = lambda z, other: np.r_[0, np.cumsum(np.isin(z, other))] if np.unique(z).size == z.size else np.arange(z.size + 1)
+    in_x, in_y, some = count(x, y), count(y, x), similar * least
+    out: list[tuple[int, int, int, int]] = []
+    todo = []
+    for k, i in enumerate(first.tolist()):
+        ends = last[k:]
+        fits = (ends - i + 1 >= some) & (in_x[ends + 1] - in_x[i] >= similar * np.maximum(ends - i + 1, least))
+        todo += [(i - e, i, e) for e in ends[fits].tolist()]
+
+    def fill(lo, hi, n):
+        return {(s, s + least - 1) for s in range(max(hi - least + 1, 0), min(lo, n - least) + 1)} if hi - lo + 1 < least else {(lo, hi)}
+
+    for _, i, j in sorted(todo):
+        if any(a <= i and j <= b for a, b, _, _ in found) or any(a <= i and j <= b for a, b, _, _ in out):
+            continue
+        ends = where[int(x[j])]
+        for p in where[int(x[i])]:
+            at = bisect_left(ends, p + j - i)
+            q = min(ends[max(at - 1, 0) : at + 1], key=lambda e: abs(e - p - (j - i)))
+            if q - p + 1 < some or in_y[q + 1] - in_y[p] < similar * max(q - p + 1, least):
+                continue
+            fit = next(((s, e, f, g) for s, e in sorted(fill(i, j, x.size)) for f, g in sorted(fill(p, q, y.size)) if _alike(x[s : e + 1], y[f : g + 1], similar)), None)
+            if fit:
+                out.append(fit)
+                break
     return out
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
+    u, v = set(x.tolist()), set(y.tolist())
+    return len(u & v) >= similar * len(u | v)
+
+
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows: list[tuple] = []
     xs, ys = batch.column("xs"), batch.column("ys")

@@ -408,6 +408,32 @@ def test_every_place_of_a_frequent_shingle_is_tried():
     assert passages.shared(passage, np.r_[noise, passage]) == [(0, 59, 400, 459)]
 
 
+def test_passage_inside_a_worse_run_is_found():
+    words = [f"w{i}" for i in range(400)]
+    other = [f"z{i}" if i in (40, 85) or i >= 100 and i % 15 == 10 else w for i, w in enumerate(words)]
+    x, y = passages.shingles(" ".join(words)), passages.shingles(" ".join(other))
+    assert passages.shared(x, y) == [(0, 95, 0, 95)]
+
+
+def test_intervals_against_every_interval():
+    r = np.random.default_rng(1)
+
+    def alike(u, v):
+        return len(u & v) >= 0.8 * len(u | v)
+
+    for _ in range(30):
+        x = np.arange(1, 21, dtype=np.int32)
+        y = x.tolist()
+        for _ in range(r.integers(2, 7)):
+            at, new = int(r.integers(len(y))), int(r.integers(1000, 1 << 30))
+            y[at : at + int(r.integers(2))] = [new][: int(r.integers(2))]
+        y = np.array(y, np.int32)
+        sets = lambda z: {(i, j): set(z[i : j + 1].tolist()) for i in range(z.size) for j in range(i + 7, z.size)}
+        want = {(i, j, p, q) for (i, j), u in sets(x).items() for (p, q), v in sets(y).items() if alike(u, v)}
+        got = set(passages.shared(x, y, 8, 0.8))
+        assert got <= want and bool(got) == bool(want)
+
+
 def test_compact_windows_cover_every_subsequence():
     r = np.random.default_rng(4)
     for ties in (False, True):
