@@ -2,8 +2,12 @@
 
 Three base patterns give spans per document. Every matched value is hashed; hashes are aggregated by
 distinct repositories and owners over the whole corpus. A value that looks live and that no more than
-``max_owners`` owners have is owner-specific and adds a ``live`` span over the value; one that more
-owners have is a copied example and adds nothing.
+``max_owners`` owners have in no more than ``max_repos`` repositories is owner-specific and adds a ``live``
+span over the value; one that more owners or repositories have is a copied example and adds nothing.
+
+Copies of one text (equal words, A-Z folded) count as one, of one owner and one repository: of those that
+hold it, the one with most texts that have the value. So a value in a single text stays live wherever that
+text was copied. Near copies count as texts of their own.
 
 Cases: null texts are empty; null owners and repositories count as one each; rows of equal id and text
 get equal results; empty in, empty out; columns that are not named are not read.
@@ -28,6 +32,8 @@ KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as longer runs of [0-9a-f]+ : runs are matched from their start
+#: Repositories of one owner that may have a value before it counts as a copied example.
+MAX_REPOS = 20
 SAMPLE = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|xxx|\*\*\*|1234567|abcdef", re.I)
 
 
@@ -54,16 +60,17 @@ def row_key(id_col: Column, text_col: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """A table in the shared folder: ``key, doc_id, owner, repo, n_*, base_sha256`` and ``found``, the base spans."""
+    """A table in the shared folder: ``key, doc_id, owner, repo, copy, n_*, base_sha256`` and ``found``, the base spans."""
 
     def run(batch):
-        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "found")}
+        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "copy", "found")}
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
             kinds = Counter(s[1] for s in spans)
             for i, k in enumerate(KINDS[:3]):
                 out[f"n_{k}"].append(kinds[i])
             out["base_sha256"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _, _ in spans).encode()).hexdigest())
+            out["copy"].append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().lower().split())) if spans else None)
             out["found"].append([{"start": a, "kind": k, "end": b, "from": v, "to": v + len(x), "value": xxhash.xxh3_128_hexdigest(x), "live": looks_live(x)} for a, k, b, v, x in spans])
         return out | {k: batch.column(k) for k in ("key", "doc_id", "owner", "repo")}
 
@@ -71,29 +78,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     source = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), docs[id_col].alias("doc_id"), docs[owner_col].cast("string").alias("owner"), docs[repo_col].cast("string").alias("repo"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     spans = "array<struct<start:int,kind:int,end:int,from:int,to:int,value:string,live:boolean>>"
-    return materialize(map_arrow(source, run, f"key string, doc_id {kind}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found {spans}"))
+    return materialize(map_arrow(source, run, f"key string, doc_id {kind}, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, copy string, found {spans}"))
+
+
+def _holders(each: DataFrame, col: str) -> DataFrame:
+    """``value, n``: distinct holders, where each text belongs to the one of ``col`` that has most texts with the value.
+    Distinct rows are counted level by level, so a value that a third of the documents share is combined before it
+    meets in one place."""
+    held = each.select("value", "copy", F.coalesce(F.concat(F.lit("="), col), F.lit("")).alias("holder")).distinct()
+    texts = held.groupBy("value", "holder").agg(F.count("*").alias("texts"))
+    most = held.join(texts, ["value", "holder"]).groupBy("value", "copy").agg(F.max(F.struct("texts", "holder")).alias("most"))
+    return most.select("value", "most.holder").distinct().groupBy("value").agg(F.count("*").alias("n"))
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """``value, n_owners, n_repos`` over the corpus. Distinct rows are counted level by level, so a value that a
-    third of the documents share is combined before it meets in one place."""
-    each = scanned.where(F.size("found") > 0).select("owner", "repo", F.explode("found.value").alias("value")).distinct()
-    by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
+    """``value, n_owners, n_repos`` over the corpus, copies of one text counted once."""
+    each = scanned.where(F.size("found") > 0).select("owner", "repo", "copy", F.explode("found.value").alias("value"))
+    owners, repos = (_holders(each, c).withColumnRenamed("n", f"n_{c}s") for c in ("owner", "repo"))
+    return owners.join(repos, "value")
 
 
-def live_spans(scanned: DataFrame, max_owners: int = 1) -> DataFrame:
+def live_spans(scanned: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPOS) -> DataFrame:
     """``key, live`` for rows with owner-specific live-looking values: structs of start, kind, end."""
     each = scanned.where(F.exists("found", lambda s: s["live"])).select("key", F.explode(F.filter("found", lambda s: s["live"])).alias("s"))
     each = each.select("key", F.struct(F.col("s.from").alias("start"), F.lit(3).alias("kind"), F.col("s.to").alias("end")).alias("span"), F.col("s.value").alias("value")).distinct()
-    own = ownership(scanned).where(F.col("n_owners") <= max_owners).select("value")
+    own = ownership(scanned).where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("value")
     return each.join(own, "value", "left_semi").groupBy("key").agg(F.collect_set("span").alias("live"))
 
 
-def secret_spans(docs: DataFrame, max_owners: int = 1, **columns: str) -> DataFrame:
+def secret_spans(docs: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPOS, **columns: str) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live``."""
     scanned = scan(docs, **columns)
-    both = scanned.join(live_spans(scanned, max_owners), "key", "left")
+    both = scanned.join(live_spans(scanned, max_owners, max_repos), "key", "left")
     base = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     live = F.coalesce("live", F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)"))
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -101,9 +117,9 @@ def secret_spans(docs: DataFrame, max_owners: int = 1, **columns: str) -> DataFr
     return both.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(text, ",").alias("spans"), F.size(live).cast("long").alias("n_live"))
 
 
-def redact(docs: DataFrame, max_owners: int = 1, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
+def redact(docs: DataFrame, max_owners: int = 1, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_repos: int = MAX_REPOS) -> DataFrame:
     """All rows and columns of ``docs``; owner-specific live-looking values in the text give way to ``mask``."""
-    live = live_spans(scan(docs, id_col, text_col, owner_col, repo_col), max_owners)
+    live = live_spans(scan(docs, id_col, text_col, owner_col, repo_col), max_owners, max_repos)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -230,6 +230,19 @@ def test_secret_spans_and_ownership(spark):
     assert sum(key in (t or "") for t in clean) == 0 and sum("Zx81Qw77kk" in (t or "") for t in clean) == 2 and len(clean) == len(data)
 
 
+def test_secrets_of_copied_documents_and_of_examples_in_one_source(spark):
+    own, example, two = "q7Zk29fLmX0aPwR3", "Hv52TtKq9dWy4bNs", "Zx81Qw77kkPm3RvB"
+    data = [(1, f"token={own} here", "o1"), (2, f"Token={own}\there", "o2"), (3, f"more token={own}", "o2")]
+    data += [(10 + i, f"number {i} token={example}", "o1") for i in range(30)]
+    data += [(50, f"a token={two}", "o1"), (51, f"b token={two}", "o2")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    counts = {tuple(r)[1:] for r in secrets.ownership(secrets.scan(df)).collect()}
+    assert counts == {(1, 2), (1, 30), (2, 2)}
+    assert {r["doc_id"] for r in rows(secrets.secret_spans(df)) if r["n_live"]} == {1, 2, 3}
+    assert {r["doc_id"] for r in rows(secrets.secret_spans(df, max_repos=30)) if r["n_live"]} == {1, 2, 3, *range(10, 40)}
+    assert {r["doc_id"] for r in rows(secrets.redact(df)) if "[SECRET]" in r["text"]} == {1, 2, 3}
+
+
 # ---- 10
 
 
