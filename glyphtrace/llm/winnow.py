@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Tokens are runs of anything but white space, cut into pieces of ``PIECE`` code points, so text without
-spaces has tokens too. The hash of ``K`` tokens in a row is a gram's hash; of every ``WINDOW`` grams in
+Tokens are runs of anything but white space. In runs of over ``PIECE`` code points that are not all ASCII every
+code point is a token, so scripts without spaces have grams at every offset; long ASCII runs (base64) are cut into
+pieces of ``PIECE`` from their start, and what they share is found only at offsets a multiple of it apart. The hash of ``K`` tokens in a row is a gram's hash; of every ``WINDOW`` grams in
 a row the smallest is kept, the rightmost among equals, with its place. Any passage of ``K + WINDOW - 1``
-tokens that two texts share gives them a common hash.
+tokens that two texts share gives them a common hash, and so does any of over ``PIECE`` code
+points without white space that are not all ASCII. Grams are hashed one by one, from the hashes of their ``K`` tokens.
 
 A gram is one number: its hash in the upper 32 bits and its place, counted down, in the lower 31, so the
 smallest number of a window is its smallest hash and of equals the rightmost. Window minima double in
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, WINDOW, PIECE, PLACES = 5, 16, 24, (1 << 31) - 1
+BEYOND = r"[^\x00-\x7F]"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -29,10 +32,22 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _finer(text: Column) -> Column:
+    """Tokens of a text with runs of over ``PIECE`` code points that are not all ASCII."""
+
+    def cut(run: Column) -> Column:
+        fine = (F.length(run) > PIECE) & run.rlike(BEYOND)
+        size = F.when(fine, r"[^\s]").otherwise(r"[^\s]{1,%d}" % PIECE)
+        return F.regexp_extract_all(run, size, F.lit(0))
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0)), cut))
+
+
 def grams(text: Column) -> Column:
     """The packed numbers of all grams in order."""
     tokens = F.regexp_extract_all(text, F.lit(r"[^\s]{1,%d}" % PIECE), F.lit(0))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    long = text.rlike(r"[^\s]{%d}" % (PIECE + 1)) & text.rlike(BEYOND)
+    hashes = F.transform(F.when(long, _finer(text)).otherwise(tokens), lambda t: F.xxhash64(t))
 
     def pack(h: Column) -> Column:
         count = F.greatest(F.size(h) - (K - 1), F.least(F.size(h), F.lit(1)))

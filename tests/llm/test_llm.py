@@ -362,6 +362,16 @@ def test_winnowing_against_brute_force(docs):
         assert Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9)) for r in got.collect()) == want
 
 
+def test_passages_without_spaces_meet_at_every_offset(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(n))
+    passage = some(25)
+    data = [(i, some(40) + " " + some(i) + passage + some(30 - i) + " tail") for i in range(26)] + [(26, "one " + passage + " two")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {x["doc_id"]: {k["hash"] for k in x["kept"]} for x in winnow.fingerprint(df).collect()}
+    assert all(kept[i] & kept[j] for i in kept for j in kept)
+
+
 # ---- 3
 
 
