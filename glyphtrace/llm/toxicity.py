@@ -141,6 +141,30 @@ def chains(emit: np.ndarray, ends: np.ndarray, sizes: np.ndarray, moves: np.ndar
     return out
 
 
+def moved_pairs(emit: np.ndarray, ends: np.ndarray, sizes: np.ndarray, moves: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected number of each move between two tags, summed over all chains; ``p`` are the marginals.
+
+    A chain's log-odds ahead of a token and its marginal give the odds of both tags of a pair.
+    """
+    start, length = layout(ends, sizes)
+    out = np.zeros((2, 2))
+    order = np.argsort(length, kind="stable")
+    at = 0
+    while at < order.size:
+        to = int(np.searchsorted(length[order], length[order[at]] * 1.25 + 4, "right"))
+        which = order[at:to]
+        where, real = padded(start[which], length[which])
+        ahead, _ = sweep(emit[where], real, moves)
+        inner = real[1:]
+        x, q = ahead[:-1][inner], p[where[1:][inner]]
+        for b, share in ((0, 1 - q), (1, q)):  # the tag before, given the next
+            before = 1 / (1 + np.exp(-np.clip(x + moves[1, b] - moves[0, b], -60, 60)))
+            out[1, b] += (share * before).sum()
+            out[0, b] += (share * (1 - before)).sum()
+        at = to
+    return out
+
+
 def token_labels(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 2.5) -> set[str]:
     """Parts of tokens that mark toxic documents."""
     seen = [Counter(), Counter()]
@@ -170,17 +194,19 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     last[start + length - 1] = True
     inner = np.flatnonzero(~last)
     moved = np.bincount(tag[inner] * 2 + tag[inner + 1], minlength=4).reshape(2, 2) + 1.0
+    observed = moved - 1.0
     w, bias, m, v = np.zeros(used.size), -3.0, 0.0, 0.0
-    moves = np.log(moved / moved.sum(1, keepdims=True))  # transitions start at, and stay near, their observed logs
+    moves = np.log(moved / moved.sum(1, keepdims=True))  # transitions start at their observed logs
     for step in range(1, steps + 1):
         emit = (np.bincount(owner, w[slot], len(each)) + bias)[kind]
         p = chains(emit, ends, sizes, moves)
         by_kind = np.bincount(kind, p - tag, len(each))
-        grad = np.r_[np.bincount(slot, by_kind[owner], used.size), by_kind.sum()] / max(tag.sum(), 1)
-        grad[:-1] += decay * w
+        pairs = moved_pairs(emit, ends, sizes, moves, p) - observed
+        grad = np.r_[np.bincount(slot, by_kind[owner], used.size), by_kind.sum(), pairs.ravel()] / max(tag.sum(), 1)
+        grad[: used.size] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - change[:-1], bias - change[-1]
+        w, bias, moves = w - change[: used.size], bias - change[used.size], moves - change[used.size + 1 :].reshape(2, 2)
     field.weights[used], field.bias, field.moves = w, bias, moves
     p = chains((np.bincount(owner, w[slot], len(each)) + bias)[kind], ends, sizes, moves)
     x = np.array([field.measure(q) for q in np.split(p, np.cumsum(sizes)[:-1])])

@@ -313,6 +313,23 @@ def test_crf_marginals_against_enumeration():
     assert np.allclose(got, weight / total)
 
 
+def test_crf_transitions_are_fitted():
+    r = np.random.default_rng(3)
+    emit, moves = r.normal(size=11), r.normal(size=(2, 2))
+    ends, sizes = np.zeros(11, bool), np.array([6, 5])
+    want = np.zeros((2, 2))
+    for part in (emit[:6], emit[6:]):
+        pairs, total = np.zeros((2, 2)), 0.0
+        for tags in np.ndindex(*(2,) * part.size):
+            w = np.exp(part @ np.array(tags) + sum(moves[a, b] for a, b in zip(tags, tags[1:])))
+            total += w
+            for a, b in zip(tags, tags[1:]):
+                pairs[a, b] += w
+        want += pairs / total
+    got = toxicity.moved_pairs(emit, ends, sizes, moves, toxicity.chains(emit, ends, sizes, moves))
+    assert np.allclose(got, want)
+
+
 def test_models_without_labels(spark, none):
     docs, labels = labelled(spark, 20)
     empty = labels.limit(0)
