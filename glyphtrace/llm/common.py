@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of our own only where none is set."""
+    """The folder all executors share. Only a local session, where driver and executors are one, gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -32,7 +35,49 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, outlives executors."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and that nothing reads any more."""
+    for t in tables:
+        jvm, spark = t.sparkSession._jvm, t.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def join_spread(rows: DataFrame, one: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """Join ``rows`` to ``one``, which has a row for a key and, as ``n``, how many rows the key has (or more).
+
+    Keys of over a ``most``-th of all rows, fewer than ``most`` by count, are sent to every task; the others are joined
+    by a shuffle in which no key is large. Keys are not null.
+    """
+    one = materialize(one)
+    total, top = one.agg(F.sum("n"), F.max("n")).first()
+    limit = (total or 0) // most + 1000
+    if (top or 0) <= limit:
+        return rows.join(one.drop("n"), key)
+    hot = F.broadcast(one.where(F.col("n") > limit).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(one.where(F.col("n") <= limit).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
+def sieve(keys: DataFrame, bits: int = 1 << 23) -> Callable[[np.ndarray], np.ndarray]:
+    """A test over arrays that all of the one long column ``keys`` pass, and few others while keys are fewer than
+    ``bits``. Only ``bits`` bits meet on the driver, whatever the number of keys."""
+    x = F.pmod(F.col(keys.columns[0]), F.lit(bits)) + 1
+    parts = keys.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("b")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for i, b in parts:
+        out[(i - 1) * 4096 : i * 4096] = np.frombuffer(bytes(b), np.uint8)
+
+    def test(values: np.ndarray) -> np.ndarray:
+        at = values & (bits - 1)
+        return (out[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    return test
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

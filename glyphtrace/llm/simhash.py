@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, materialize
+from .common import documents, drop, join_spread, map_arrow, materialize
 
 DISTANCE, WORDS, SEED = 4, 4, 42
 #: Members of a variant's group that one task compares; larger groups go to pairs of blocks.
@@ -182,17 +182,19 @@ def link(fps: DataFrame, distance: int = DISTANCE, picks: int | None = None, gro
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: connected components of ``a, b`` by alternating large and small stars, in tables of the shared folder."""
+    """``node, root``: connected components of ``a, b`` by alternating large and small stars, in tables of the shared folder.
+    Nodes that hold a large part of all links are joined apart, so no task gets all links of one."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = materialize(join_spread(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        drop(edges)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        drop(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -202,12 +204,12 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id that links reach from each document."""
     own = materialize(fingerprints(docs, id_col, text_col, words))
-    least = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    least = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     nodes = components(link(least.select("fp"), distance))
-    rooted = least.join(nodes, least.fp == nodes.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = materialize(least.join(nodes, least.fp == nodes.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = join_spread(rooted.select("root", "fp", F.col("n").alias("rows")), lowest, "root")
+    return join_spread(own, named.select("fp", "component_id", F.col("rows").alias("n")), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(col):
