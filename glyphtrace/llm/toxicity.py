@@ -2,15 +2,19 @@
 
 Two tags, clean and toxic. Training tokens are labelled from labelled documents: a token of a toxic
 document is toxic if its form, or the start of it, occurs far more often in toxic than in clean
-training documents. The field is fitted by exact forward-backward gradients; its chains are sentences,
-or pieces of at most ``CHAIN`` tokens of longer ones. A document's score is a logistic function of its
+training documents. Emissions and transitions are fitted by exact forward-backward gradients; chains are
+sentences of any length. A document's score is a logistic function of its
 marginals (the two largest, their sum, and the sum of those near 1); offsets of tokens with a marginal over one half are reported.
 
-Training takes a bounded sample: ``MOST`` rows of each label, by a hash of the id, of at most
-``LONGEST`` code points. Scoring reads whole texts.
+Long chains are swept in blocks of ``BLOCK`` tokens: a block's effect on what comes into it is a product of
+2 x 2 matrices, so blocks are swept side by side and joined by their matrices; results are those of one sweep.
+
+Training takes a bounded sample of labelled rows: ``MOST`` rows of each label, by a hash of the id, of ``BUDGET`` code
+points together (whole texts; the row that goes beyond ends the sample). Scoring reads whole texts.
 
 Cases: null and empty texts have no tokens and get the score of no evidence; without rows of both
-labels all scores are 0; equal texts, equal scores; rows without a label teach nothing.
+labels all scores are 0; equal texts, equal scores; rows without a label teach nothing; an id with both labels counts
+as toxic; all rows of a repeated id are taken; texts of any length are read whole; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold, map_arrow, slices
 
-MOST, LONGEST, CHAIN, TABLE = 2_000, 20_000, 96, 1 << 18
+MOST, BUDGET, BLOCK, TABLE = 2_000, 6_000_000, 64, 1 << 18
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…¡¿"
 CACHE = 1 << 20
 
@@ -72,7 +76,7 @@ class Field:
         look, known = self.look, self.known
         pairs = [known.get(w) or look(w) for t in tokens for w in t]
         emit, ends = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        p = chains(emit, ends, np.array(sizes), self.moves)
+        p, _ = chains(emit, starts(ends, np.array(sizes)), self.moves)
         return np.split(p, np.cumsum(sizes)[:-1])
 
     def measure(self, p: np.ndarray) -> np.ndarray:
@@ -88,80 +92,92 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def layout(ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the chains: sentences, cut at ``CHAIN`` tokens."""
-    n = ends.size
-    first = np.zeros(n, bool)
+def starts(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which tokens begin a chain: those of a text's start and those after a sentence's end."""
+    first = np.zeros(ends.size, bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     first[1:] |= ends[:-1]
-    start = np.flatnonzero(first)
-    place = np.arange(n) - np.repeat(start, np.diff(np.r_[start, n]))
-    start = np.flatnonzero(place % CHAIN == 0)
-    return start, np.diff(np.r_[start, n])
-
-
-def padded(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chains as a rectangle of token numbers (places x chains), and which places are real."""
-    place = np.arange(length.max())[:, None]
-    real = place < length
-    return np.where(real, start + place, 0), real
-
-
-def sweep(emit: np.ndarray, real: np.ndarray, moves: np.ndarray):
-    """Log forward and backward messages as log-odds of toxic, for a rectangle of emissions.
-
-    Messages between two tags need one number each. ``step(x)`` carries log-odds across a transition.
-    """
-
-    def step(x, m):
-        return np.logaddexp(m[0, 1], x + m[1, 1]) - np.logaddexp(m[0, 0], x + m[1, 0])
-
-    ahead, back = np.zeros_like(emit), np.zeros_like(emit)
-    ahead[0] = emit[0]
-    for i in range(1, len(emit)):
-        ahead[i] = emit[i] + step(ahead[i - 1], moves)
-    for i in range(len(emit) - 2, -1, -1):
-        back[i] = np.where(real[i + 1], step(back[i + 1] + emit[i + 1], moves.T), 0.0)
-    return ahead, back
-
-
-def chains(emit: np.ndarray, ends: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    start, length = layout(ends, sizes)
-    out = np.empty(emit.size)
+    return first
+
+
+def _step(x, m):
+    """Log-odds of toxic carried across a transition: messages between two tags need one number each."""
+    return np.logaddexp(m[0, 1], x + m[1, 1]) - np.logaddexp(m[0, 0], x + m[1, 0])
+
+
+def forward(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log-odds of toxic at each token given the tokens of its chain up to it."""
+    n = emit.size
+    begin = np.flatnonzero(first)
+    place = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
+    start = np.flatnonzero(place % BLOCK == 0)
+    length = np.diff(np.r_[start, n])
+    number = place[start] // BLOCK  # of a block in its chain
+    comes = np.zeros(start.size)
+    if number.any():
+        comes = _incoming(emit, start, number, moves)
+    out = np.empty(n)
     order = np.argsort(length, kind="stable")
     at = 0
-    while at < order.size:  # chains of like length together
-        most = length[order[at]] * 1.25 + 4
-        to = int(np.searchsorted(length[order], most, "right"))
+    while at < order.size:  # blocks of like length together, as a rectangle of places x blocks
+        to = int(np.searchsorted(length[order], length[order[at]] * 1.25 + 4, "right"))
         which = order[at:to]
-        where, real = padded(start[which], length[which])
-        ahead, back = sweep(emit[where], real, moves)
-        out[where[real]] = 1 / (1 + np.exp(-np.clip((ahead + back)[real], -60, 60)))
+        rows = np.arange(length[which].max())[:, None]
+        real = rows < length[which]
+        where = np.where(real, start[which] + rows, 0)
+        x = emit[where]
+        x[0] += np.where(number[which] > 0, _step(comes[which], moves), 0.0)
+        for i in range(1, len(x)):
+            x[i] += _step(x[i - 1], moves)
+        out[where[real]] = x[real]
         at = to
     return out
 
 
-def moved_pairs(emit: np.ndarray, ends: np.ndarray, sizes: np.ndarray, moves: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected number of each move between two tags, summed over all chains; ``p`` are the marginals.
-
-    A chain's log-odds ahead of a token and its marginal give the odds of both tags of a pair.
+def _incoming(emit: np.ndarray, start: np.ndarray, number: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """For each block of a chain of several, the log-odds at the token before it."""
+    feeds = np.flatnonzero(np.r_[number[1:] > 0, False])  # blocks that another follows; they are full
+    e = emit[start[feeds] + np.arange(BLOCK)[:, None]]
+    # Odds o become (A o + B) / (C o + D): logarithms of the matrix's four numbers.
+    a, b, c, d = (np.full(feeds.size, v) for v in (0.0, -np.inf, -np.inf, 0.0))
+    for i in range(BLOCK):
+        a, c = e[i] + np.logaddexp(moves[1, 1] + a, moves[0, 1] + c), np.logaddexp(moves[1, 0] + a, moves[0, 0] + c)
+        b, d = e[i] + np.logaddexp(moves[1, 1] + b, moves[0, 1] + d), np.logaddexp(moves[1, 0] + b, moves[0, 0] + d)
+    head = number[feeds] == 0
+    x = e[0].copy()
+    for i in range(1, BLOCK):
+        x = e[i] + _step(x, moves)
+    comes = np.zeros(start.size)
+    comes[feeds[head] + 1] = x[head]
+    by = np.argsort(number[feeds], kind="stable")
+    cuts = np.searchsorted(number[feeds][by], np.arange(1, number.max() + 1))
+    for lo, hi in zip(cuts, np.r_[cuts[1:], by.size]):  # the k-th blocks of all chains
+        k = by[lo:hi]
+        x = comes[feeds[k]]
+        comes[feeds[k] + 1] = np.logaddexp(a[k] + x, b[k]) - np.logaddexp(c[k] + x, d[k])
+    return comes
+
+
+def chains(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic tag, and the log-odds ahead. The backward sweep is a forward one over reversed chains."""
+    ahead = forward(emit, first, moves)
+    last = np.r_[first[1:], True]
+    back = forward(emit[::-1], last[::-1], moves.T)[::-1] - emit
+    return 1 / (1 + np.exp(-np.clip(ahead + back, -60, 60))), ahead
+
+
+def moved_pairs(first: np.ndarray, moves: np.ndarray, p: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Expected number of each move between two tags, summed over all chains.
+
+    The log-odds ahead of a token and the marginal after it give the odds of both tags of a pair.
     """
-    start, length = layout(ends, sizes)
     out = np.zeros((2, 2))
-    order = np.argsort(length, kind="stable")
-    at = 0
-    while at < order.size:
-        to = int(np.searchsorted(length[order], length[order[at]] * 1.25 + 4, "right"))
-        which = order[at:to]
-        where, real = padded(start[which], length[which])
-        ahead, _ = sweep(emit[where], real, moves)
-        inner = real[1:]
-        x, q = ahead[:-1][inner], p[where[1:][inner]]
-        for b, share in ((0, 1 - q), (1, q)):  # the tag before, given the next
-            before = 1 / (1 + np.exp(-np.clip(x + moves[1, b] - moves[0, b], -60, 60)))
-            out[1, b] += (share * before).sum()
-            out[0, b] += (share * (1 - before)).sum()
-        at = to
+    inner = ~first[1:]
+    x, q = ahead[:-1][inner], p[1:][inner]
+    for b, share in ((0, 1 - q), (1, q)):  # the tag before, given the next
+        before = 1 / (1 + np.exp(-np.clip(x + moves[1, b] - moves[0, b], -60, 60)))
+        out[1, b] = (share * before).sum()
+        out[0, b] = (share * (1 - before)).sum()
     return out
 
 
@@ -189,26 +205,23 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     each = [slots(form(w)) for w in kinds]
     owner, slot = np.repeat(np.arange(len(each)), [len(s) for s in each]), np.array([s for x in each for s in x], np.int64)
     used, slot = np.unique(slot, return_inverse=True)
-    start, length = layout(ends, sizes)
-    last = np.zeros(kind.size, bool)
-    last[start + length - 1] = True
-    inner = np.flatnonzero(~last)
-    moved = np.bincount(tag[inner] * 2 + tag[inner + 1], minlength=4).reshape(2, 2) + 1.0
-    observed = moved - 1.0
+    first = starts(ends, sizes)
+    inner = np.flatnonzero(~first[1:])
+    observed = np.bincount(tag[inner] * 2 + tag[inner + 1], minlength=4).reshape(2, 2).astype(float)
     w, bias, m, v = np.zeros(used.size), -3.0, 0.0, 0.0
-    moves = np.log(moved / moved.sum(1, keepdims=True))  # transitions start at their observed logs
+    moves = np.log((observed + 1) / (observed + 1).sum(1, keepdims=True))  # where transitions start
     for step in range(1, steps + 1):
         emit = (np.bincount(owner, w[slot], len(each)) + bias)[kind]
-        p = chains(emit, ends, sizes, moves)
+        p, ahead = chains(emit, first, moves)
         by_kind = np.bincount(kind, p - tag, len(each))
-        pairs = moved_pairs(emit, ends, sizes, moves, p) - observed
+        pairs = moved_pairs(first, moves, p, ahead) - observed
         grad = np.r_[np.bincount(slot, by_kind[owner], used.size), by_kind.sum(), pairs.ravel()] / max(tag.sum(), 1)
         grad[: used.size] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias, moves = w - change[: used.size], bias - change[used.size], moves - change[used.size + 1 :].reshape(2, 2)
     field.weights[used], field.bias, field.moves = w, bias, moves
-    p = chains((np.bincount(owner, w[slot], len(each)) + bias)[kind], ends, sizes, moves)
+    p, _ = chains((np.bincount(owner, w[slot], len(each)) + bias)[kind], first, moves)
     x = np.array([field.measure(q) for q in np.split(p, np.cumsum(sizes)[:-1])])
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     theta = np.zeros(5)
@@ -220,16 +233,25 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 60, rate
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST, mod: int = 3, held: int = 1) -> Field:
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST, budget: int = BUDGET, mod: int = 3, held: int = 1) -> Field:
     """Learn from labelled rows outside the held-out fold."""
-    own = documents(docs).where((fold(F.col("doc_id"), mod) != held) & (F.length("text") <= longest))
+    own = documents(docs).where(fold(F.col("doc_id"), mod) != held).withColumn("h", F.xxhash64("text"))
     judged = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(F.col("y").isNotNull() & (fold(F.col("doc_id"), mod) != held)).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = judged.agg(F.avg("y")).first()[0]
-    rows = []
+    order = (F.xxhash64("doc_id"), "doc_id", "h")
+    ids = [F.broadcast(judged.where(F.col("y") == y).orderBy(*order[:2]).limit(2 * most)) for y in (0, 1)]
+    texts, tags = [], []
     for y in (0, 1):
-        ids = F.broadcast(judged.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most))
-        rows += [(r["text"], y) for r in own.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()]
-    return fit([t for t, _ in rows], np.array([y for _, y in rows], np.float64), share or 0.0)
+        found = own.join(ids[y], "doc_id", "left_semi")
+        sizes = found.select("doc_id", "h", F.length("text").alias("n")).orderBy(*order).limit(most).collect()  # numbers only
+        upto = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), budget, "right")) + 1
+        if not sizes:
+            continue
+        taken = docs.sparkSession.createDataFrame([(r["doc_id"], r["h"]) for r in sizes[:upto]], own.select("doc_id", "h").schema).distinct()
+        rows = own.join(F.broadcast(taken), ["doc_id", "h"], "left_semi").orderBy(*order).limit(upto).collect()
+        texts += [r["text"] for r in rows]
+        tags += [y] * len(rows)
+    return fit(texts, np.array(tags, np.float64), share or 0.0)
 
 
 def score_documents(docs: DataFrame, field: Field, mod: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:

@@ -300,10 +300,14 @@ def test_quality_and_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, r in t.items() if r["score"] < 0.7}
 
 
+def whole(n):
+    return np.arange(n) == 0
+
+
 def test_crf_marginals_against_enumeration():
     r = np.random.default_rng(2)
     emit, moves = r.normal(size=6), r.normal(size=(2, 2))
-    got = toxicity.chains(emit, np.zeros(6, bool), np.array([6]), moves)
+    got, _ = toxicity.chains(emit, whole(6), moves)
     weight = np.zeros(6)
     total = 0.0
     for tags in np.ndindex(*(2,) * 6):
@@ -313,10 +317,53 @@ def test_crf_marginals_against_enumeration():
     assert np.allclose(got, weight / total)
 
 
+def slow_marginals(emit, moves):
+    """Marginals and the logarithm of the partition function by plain vectors, token by token."""
+    f, b = [np.array([0.0, emit[0]])], [np.zeros(2)]
+    for e in emit[1:]:
+        f.append(np.logaddexp(f[-1][0] + moves[0], f[-1][1] + moves[1]) + np.array([0.0, e]))
+    for e in emit[:0:-1]:
+        x = b[-1] + np.array([0.0, e])
+        b.append(np.logaddexp(moves[:, 0] + x[0], moves[:, 1] + x[1]))
+    z = np.logaddexp(*f[-1])
+    return np.array([np.exp(x[1] + y[1] - z) for x, y in zip(f, b[::-1])]), z
+
+
+def test_crf_chains_of_any_length():
+    r = np.random.default_rng(6)
+    moves = np.array([[2.0, -1.5], [-1.0, 2.5]])  # evidence carries far
+    for sizes in ([1000, 3, 64, 65, 128, 1, 129, 777], [63], [64 * 5], [20000]):
+        emit = r.normal(size=sum(sizes)) * 2
+        first = np.zeros(emit.size, bool)
+        first[np.r_[0, np.cumsum(sizes)[:-1]]] = True
+        got, _ = toxicity.chains(emit, first, moves)
+        want = np.concatenate([slow_marginals(e, moves)[0] for e in np.split(emit, np.cumsum(sizes)[:-1])])
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_crf_gradient_against_finite_differences():
+    r = np.random.default_rng(7)
+    emit, moves = r.normal(size=400), r.normal(size=(2, 2))
+    first = np.zeros(400, bool)
+    first[[0, 350]] = True
+    z = lambda e, m: slow_marginals(e[:350], m)[1] + slow_marginals(e[350:], m)[1]
+    p, ahead = toxicity.chains(emit, first, moves)
+    pairs = toxicity.moved_pairs(first, moves, p, ahead)
+    for i in (0, 200, 349, 350, 399):
+        d = np.eye(400)[i] * 1e-5
+        assert abs((z(emit + d, moves) - z(emit - d, moves)) / 2e-5 - p[i]) < 1e-6
+    for a in range(2):
+        for b in range(2):
+            d = np.zeros((2, 2))
+            d[a, b] = 1e-5
+            assert abs((z(emit, moves + d) - z(emit, moves - d)) / 2e-5 - pairs[a, b]) < 1e-5
+
+
 def test_crf_transitions_are_fitted():
     r = np.random.default_rng(3)
     emit, moves = r.normal(size=11), r.normal(size=(2, 2))
-    ends, sizes = np.zeros(11, bool), np.array([6, 5])
+    first = np.zeros(11, bool)
+    first[[0, 6]] = True
     want = np.zeros((2, 2))
     for part in (emit[:6], emit[6:]):
         pairs, total = np.zeros((2, 2)), 0.0
@@ -326,8 +373,17 @@ def test_crf_transitions_are_fitted():
             for a, b in zip(tags, tags[1:]):
                 pairs[a, b] += w
         want += pairs / total
-    got = toxicity.moved_pairs(emit, ends, sizes, moves, toxicity.chains(emit, ends, sizes, moves))
-    assert np.allclose(got, want)
+    p, ahead = toxicity.chains(emit, first, moves)
+    assert np.allclose(toxicity.moved_pairs(first, moves, p, ahead), want)
+
+
+def test_long_labelled_texts_teach(spark):
+    docs, labels = labelled(spark)
+    long = docs.withColumn("text", F.concat("text", F.repeat(F.lit(" und so weiter"), 2000)))
+    field = toxicity.train(long, labels)
+    held = [r for r in rows(toxicity.score_documents(docs, field)) if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 400]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 3 == 0) for r in held]) > 0.95
+    assert toxicity.train(docs, labels, budget=1000).document is not None
 
 
 def test_models_without_labels(spark, none):
