@@ -27,7 +27,6 @@ repeats the result is empty; columns that are not named are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -237,67 +236,81 @@ def _around(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], ["cls", "tid", "at"])
 
 
-def shared(x: np.ndarray, y: np.ndarray, least: int = LEAST - SHINGLE + 1, similar: float = SIMILAR) -> list[tuple[int, int, int, int]]:
-    """Intervals of ``x`` and of ``y`` (ends included) of at least ``least`` tokens each whose sets are similar enough."""
-    hit = np.flatnonzero(np.isin(x, y))
-    if hit.size < least * similar * 0.9:
-        return []
-    where = {}
-    for i, v in enumerate(y.tolist()):
-        where.setdefault(v, []).append(i)
-    out: list[tuple[int, int, int, int]] = []
-    for gap in (2 * SHINGLE, SHINGLE, 0):
-        cut = np.flatnonzero(np.diff(hit) > gap + 1)
-        for i, j in zip(hit[np.r_[0, cut + 1]].tolist(), hit[np.r_[cut, hit.size - 1]].tolist()):
-            if j - i + 1 < least or any(a <= i and j <= b for a, b, _, _ in out):
-                continue
-            u, ends = set(x[i : j + 1].tolist()), where[int(x[j])]
-            for p in where[int(x[i])]:
-                at = bisect_left(ends, p + j - i)
-                q = min(ends[max(at - 1, 0) : at + 1], key=lambda e: abs(e - p - (j - i)))
-                if q - p + 1 >= least:
-                    v = set(y[p : q + 1].tolist())
-                    if len(u & v) >= similar * len(u | v):
-                        out.append((i, j, p, q))
-                        break
-    return out + _inside(x, y, hit, where, out, least, similar)
-
-
-def _inside(x, y, hit, where, found, least: int, similar: float) -> list[tuple[int, int, int, int]]:
-    """What ``shared`` misses in whole runs: intervals from the start of any exact run to the end of any other, longest
-    first and none inside another. Those short of ``least`` tokens are filled up on either side."""
-    two = lambda z: z[:-1].astype(np.int64) << 32 ^ z[1:].astype(np.int64)
-    cut = np.flatnonzero((np.diff(hit) > 1) | ~np.isin(two(x), two(y))[hit[:-1]])  # an exact run goes on in both
-    first, last = hit[np.r_[0, cut + 1]], hit[np.r_[cut, hit.size - 1]]
-    # Without repeats inside a text, shared tokens can be counted up to any place, which rules most intervals out.
-    count = lambda z, other: np.r_[0, np.cumsum(np.isin(z, other))] if np.unique(z).size == z.size else np.arange(z.size + 1)
-    in_x, in_y, some = count(x, y), count(y, x), similar * least
-    out: list[tuple[int, int, int, int]] = []
-    todo = []
-    for k, i in enumerate(first.tolist()):
-        ends = last[k:]
-        fits = (ends - i + 1 >= some) & (in_x[ends + 1] - in_x[i] >= similar * np.maximum(ends - i + 1, least))
-        todo += [(i - e, i, e) for e in ends[fits].tolist()]
+#: How far a passage's two places may drift apart inside it, in tokens.
+DRIFT = 64
 
-    def fill(lo, hi, n):
-        return {(s, s + least - 1) for s in range(max(hi - least + 1, 0), min(lo, n - least) + 1)} if hi - lo + 1 < least else {(lo, hi)}
 
-    for _, i, j in sorted(todo):
-        if any(a <= i and j <= b for a, b, _, _ in found) or any(a <= i and j <= b for a, b, _, _ in out):
+def _places(v: np.ndarray, order: np.ndarray, want: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """Of the places in ``y`` of the values ``v`` those nearest to ``want``; ``code`` are value and place, in order."""
+    k = np.searchsorted(code, v * n + np.clip(want, 0, n - 1))
+    low, high = np.maximum(k - 1, 0), np.minimum(k, code.size - 1)
+    off = [np.where(code[c] // n == v, np.abs(order[c] - want), 1 << 40) for c in (low, high)]
+    return np.where(off[0] <= off[1], order[low], order[high])
+
+
+def shared(x: np.ndarray, y: np.ndarray, least: int = TOKENS, similar: float = SIMILAR) -> list[tuple[int, int, int, int]]:
+    """Intervals of ``x`` and of ``y`` (ends included) of at least ``least`` tokens each whose sets are similar enough.
+
+    Equal tokens are gathered along diagonals that drift by no more than ``DRIFT``. Between the u-th and the w-th equal
+    token of a diagonal the similarity is enough where ``(1 + 1 / similar) k - i - p`` of the w-th (its number, and its
+    places in both) is not below that of the u-th, so running maxima give the farthest w for each u.
+    """
+    need, g, n = int(np.ceil(2 * similar * least / (1 + similar) - 1e-9)), 1 + 1 / similar, y.size
+    values, vy = np.unique(y, return_inverse=True)
+    at = np.minimum(np.searchsorted(values, x), max(values.size - 1, 0))
+    i = np.flatnonzero(values[at] == x) if n else np.zeros(0, np.int64)
+    if i.size < need:
+        return []
+    v, order = at[i], np.argsort(vy, kind="stable")
+    code = vy[order].astype(np.int64) * n + order
+    by = np.argsort(v, kind="stable")  # the k-th of equal tokens in x first goes with the k-th in y
+    new = np.r_[True, v[by][1:] != v[by][:-1]]
+    rank = np.empty(i.size, np.int64)
+    rank[by] = np.arange(i.size) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.searchsorted(vy[order], np.arange(values.size))
+    count = np.diff(np.r_[first, n])
+    d = order[first[v] + np.minimum(rank, count[v] - 1)] - i
+    along = np.argsort(d, kind="stable")
+    cuts = np.flatnonzero(np.diff(d[along]) > DRIFT) + 1
+    out: list[tuple[int, int, int, int]] = []
+    for part in np.split(along, cuts):
+        if part.size * 2 < need:  # half of a passage's tokens at least stand once, or as often as in the other
             continue
-        ends = where[int(x[j])]
-        for p in where[int(x[i])]:
-            at = bisect_left(ends, p + j - i)
-            q = min(ends[max(at - 1, 0) : at + 1], key=lambda e: abs(e - p - (j - i)))
-            if q - p + 1 < some or in_y[q + 1] - in_y[p] < similar * max(q - p + 1, least):
-                continue
-            fit = next(((s, e, f, g) for s, e in sorted(fill(i, j, x.size)) for f, g in sorted(fill(p, q, y.size)) if _alike(x[s : e + 1], y[f : g + 1], similar)), None)
+        part = np.sort(part)
+        want = i + np.rint(np.interp(i, i[part], d[part])).astype(np.int64)
+        p = _places(v, order, want, code, n)
+        near = np.abs(p - want) <= DRIFT
+        a, b = i[near], p[near]
+        if a.size < need:
+            continue
+        f = g * np.arange(a.size) - a - b
+        top = np.maximum.accumulate(f[::-1])  # from the right
+        far = a.size - 1 - np.searchsorted(top, f + 2 - g - 1e-9)
+        u = np.flatnonzero(far - np.arange(a.size) + 1 >= need)
+        w = far[u]
+        longer = w > np.r_[-1, np.maximum.accumulate(w)[:-1]] if u.size else np.zeros(0, bool)
+        u, w = u[longer], w[longer]
+        k = 0
+        while k < u.size:  # intervals that cover all that any covers
+            fit = _fit(x, y, int(a[u[k]]), int(a[w[k]]), int(b[u[k] : w[k] + 1].min()), int(b[u[k] : w[k] + 1].max()), least, similar)
             if fit:
-                out.append(fit)
-                break
+                if not any(e <= fit[0] and fit[1] <= h and o <= fit[2] and fit[3] <= q for e, h, o, q in out):
+                    out.append(fit)
+                k = max(int(np.searchsorted(u, w[k], "right")) - 1, k + 1)
+            else:
+                k += 1
     return out
 
 
+def _fit(x, y, i: int, j: int, p: int, q: int, least: int, similar: float) -> tuple[int, int, int, int] | None:
+    """The intervals themselves, filled up on either side to ``least`` tokens, where their sets are similar enough."""
+
+    def fill(lo, hi, n):
+        return [(s, s + least - 1) for s in range(max(hi - least + 1, 0), min(lo, n - least) + 1)] if hi - lo + 1 < least else [(lo, hi)]
+
+    return next(((a, b, c, d) for a, b in fill(i, j, x.size) for c, d in fill(p, q, y.size) if _alike(x[a : b + 1], y[c : d + 1], similar)), None)
+
+
 def _alike(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
     u, v = set(x.tolist()), set(y.tolist())
     return len(u & v) >= similar * len(u | v)
