@@ -11,8 +11,8 @@ from .common import fold, table
 
 
 def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    rows = quality.measured(table(spark, sf_dir, "documents"))
+    return quality.score(rows, quality.train(rows, table(spark, sf_dir, "labels")))
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

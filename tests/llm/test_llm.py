@@ -285,7 +285,8 @@ def labelled(spark, n=400):
 
 def test_quality_and_toxicity_on_held_out_rows(spark):
     docs, labels = labelled(spark)
-    q = {r["doc_id"]: r for r in rows(quality.score_documents(docs, quality.train(docs, labels)))}
+    seen = quality.measured(docs)
+    q = {r["doc_id"]: r for r in rows(quality.score(seen, quality.train(seen, labels)))}
     field = toxicity.train(docs, labels)
     t = {r["doc_id"]: r for r in rows(toxicity.score_documents(docs, field))}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in q.items())
@@ -386,10 +387,44 @@ def test_long_labelled_texts_teach(spark):
     assert toxicity.train(docs, labels, budget=1000).document is not None
 
 
+def test_quality_risk_against_its_formula():
+    r = np.random.default_rng(8)
+    bins, positive = r.integers(0, 4, (200, 5)).astype(np.uint8), r.random(200) < 0.3
+    theta, prior = r.normal(size=21) * 0.3, 0.35
+
+    def risk(t):
+        z = t[bins + np.arange(5) * 4].sum(1) + t[-1]
+        loss = lambda x: (1 / (1 + np.exp(-x))).mean()
+        return prior * loss(-z[positive]), loss(z[~positive]) - prior * loss(z[positive])
+
+    for high in (False, True):  # the bracket is above and below zero
+        t = theta.copy()
+        bins[positive, 0] = 3 if high else 0
+        t[3] = 6.0
+        t[-1] -= 3.0 * high
+        bins[~positive, 0] = r.integers(0, 3 if high else 4, (~positive).sum())
+        bracket = risk(t)[1]
+        assert (bracket < 0) == high
+        whole = lambda x, b=bracket: sum(risk(x)) if b >= 0 else -risk(x)[1]
+        got = quality.gradient(sum(quality.sums(t, bins[i : i + 50], positive[i : i + 50]) for i in range(0, 200, 50)), prior)
+        want = [(whole(t + d) - whole(t - d)) / 2e-6 for d in np.eye(21) * 1e-6]
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_quality_prior_from_positives_and_unlabelled():
+    r = np.random.default_rng(9)
+    for prior in (0.2, 0.6, 0.9):
+        good, bad = r.beta(8, 2, 60_000), r.beta(2, 8, 60_000)
+        u = np.r_[good[: int(20_000 * prior)], bad[: int(20_000 * (1 - prior))]]
+        cells = lambda x: np.bincount((x * 999).astype(int), minlength=1000)
+        assert abs(quality.prior_of(cells(u), cells(good[30_000:40_000])) - prior) < 0.05
+
+
 def test_models_without_labels(spark, none):
     docs, labels = labelled(spark, 20)
     empty = labels.limit(0)
-    assert {r["score"] for r in rows(quality.score_documents(docs, quality.train(docs, empty)))} == {0.5}
+    seen = quality.measured(docs)
+    assert {r["score"] for r in rows(quality.score(seen, quality.train(seen, empty)))} == {0.5}
     assert {r["score"] for r in rows(toxicity.score_documents(docs, toxicity.train(docs, empty)))} == {0.0}
 
 
@@ -620,7 +655,7 @@ def test_empty_tables(spark, none):
     for df in (
         bpe.encode_documents(none, PATH, PATTERN), media.store_documents(none), simhash.near_duplicates(none), mixing.mix(none), secrets.secret_spans(none), secrets.redact(none),
         winnow.compare(none), passages.repeated_passages(none), stages.one_of_each(none), stages.mixed(none), langid.predict(none, langid.prototypes(none), {"doc_id": none["doc_id"]}),
-        quality.score_documents(none, quality.train(none, labels)), toxicity.score_documents(none, toxicity.train(none, labels)),
+        quality.score(quality.measured(none), quality.train(quality.measured(none), labels)), toxicity.score_documents(none, toxicity.train(none, labels)),
     ):
         assert df.count() == 0
 
