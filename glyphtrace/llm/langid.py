@@ -9,11 +9,13 @@ one class of gaps. Prototypes are exact integer sums over every training row, so
 depend on partitions. They come to the driver as languages x dimensions numbers.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first language
-by code point; with no training rows everything is ``und``; rows with a null language teach nothing.
+by code point; with no training rows everything is ``und``; rows with a null language teach nothing; texts of any length
+are read whole, in blocks of n-grams; repeated rows get equal results; columns that are not named are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices
 
-DIMENSIONS, GRAM, CLASSES = 512, 3, 128
+DIMENSIONS, GRAM, CLASSES, BLOCK = 512, 3, 128, 1 << 13
 
 
 @lru_cache(1)
@@ -60,14 +62,28 @@ def _grams(text: str) -> tuple[np.ndarray, bool]:
     return codes[codes > 0], bool(kinds.any())
 
 
-def _count(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram codes, counts (texts x codes) and whether each text has letters."""
+def _counts(texts: list[str | None]) -> tuple[np.ndarray, int, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Whether each text has letters, the n-grams of the longest, and blocks of ``BLOCK`` n-gram codes with their counts
+    (texts x codes), so memory does not grow with the number of different n-grams."""
     each = [_grams(t or "") for t in texts]
     sizes = [g.size for g, _ in each]
-    codes, at = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True) if sum(sizes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    row = np.repeat(np.arange(len(texts)), sizes)
-    counts = np.bincount(row * codes.size + at, minlength=len(texts) * codes.size).reshape(len(texts), codes.size)
-    return codes, counts, np.array([x for _, x in each], bool)
+
+    def blocks():
+        if not sum(sizes):
+            return
+        codes, at = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        if codes.size > BLOCK:
+            order = np.argsort(at, kind="stable")
+            at, row = at[order], row[order]
+        cuts = np.searchsorted(at, np.arange(0, codes.size + BLOCK, BLOCK)) if codes.size > BLOCK else [0, at.size]
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            some = codes[k * BLOCK : (k + 1) * BLOCK]
+            if some.size:
+                n = len(texts) * some.size
+                yield some, np.bincount(row[lo:hi] * some.size + at[lo:hi] - k * BLOCK, minlength=n).reshape(len(texts), some.size)
+
+    return np.array([x for _, x in each], bool), max(sizes, default=0), blocks()
 
 
 def _vectors(codes: np.ndarray, dimensions: int) -> np.ndarray:
@@ -86,12 +102,12 @@ def prototypes(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
         for batch in batches:
             for part in slices(batch, 128):
                 langs = part.column("lang").to_pylist()
-                codes, counts, _ = _count(part.column("text").to_pylist())
                 names = sorted(set(langs))
                 member = np.array([[x == n for x in langs] for n in names], np.float64)
-                bundle = (member @ counts) @ _vectors(codes, dimensions).astype(np.float64)
-                for name, v in zip(names, bundle):
-                    sums[name] = sums.get(name, 0) + v.astype(np.int64)
+                for codes, counts in _counts(part.column("text").to_pylist())[2]:
+                    bundle = (member @ counts) @ _vectors(codes, dimensions).astype(np.float64)
+                    for name, v in zip(names, bundle):
+                        sums[name] = sums.get(name, 0) + v.astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
@@ -105,19 +121,23 @@ def prototypes(train: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: dict, text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """The columns ``keep`` (name: Column) with ``lang_pred`` and ``score``, the cosine where it is above 0."""
     names = sorted(profiles)
-    unit = np.stack([profiles[n] / max(np.linalg.norm(profiles[n]), 1e-12) for n in names]).astype(np.float32) if names else np.zeros((0, dimensions), np.float32)
+    unit = np.stack([profiles[n] / max(np.linalg.norm(profiles[n]), 1e-12) for n in names]) if names else np.zeros((0, dimensions))
 
     carried = list(keep)
 
     def run(batch):
         lang, score = [], []
         for part in slices(batch, 128):
-            codes, counts, letters = _count(part.column("text").to_pylist())
-            if not names or not codes.size:
+            letters, longest, blocks = _counts(part.column("text").to_pylist())
+            if not names or not letters.any():
                 lang += ["und"] * part.num_rows
                 score += [0.0] * part.num_rows
                 continue
-            v = counts.astype(np.float32) @ _vectors(codes, dimensions).astype(np.float32)
+            kind = np.float32 if longest < 1 << 24 else np.float64  # in which sums of that many ones are exact
+            v = np.zeros((part.num_rows, dimensions), kind)
+            for codes, counts in blocks:
+                v += counts.astype(kind) @ _vectors(codes, dimensions).astype(kind)
+            v = v.astype(np.float64)
             cos = (v @ unit.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             best = cos.argmax(1)
             lang += [names[b] if ok else "und" for b, ok in zip(best, letters)]

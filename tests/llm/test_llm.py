@@ -262,6 +262,50 @@ def test_language_profiles(spark):
     assert {r["lang_pred"] for r in rows(langid.predict(df, {}, {"doc_id": df["doc_id"]}))} == {"und"}
 
 
+def test_language_predictions_against_brute_force(spark, docs):
+    en, de = "the quick brown fox jumps over the lazy dog ", "der schnelle braune fuchs springt über den faulen hund "
+    profiles = langid.prototypes(spark.createDataFrame([(en, "en"), (de * 2, "de"), ("漢字 かな", "ja")], "text string, lang string"))
+    letters = langid._letters(langid.DIMENSIONS)
+
+    def vector(text):
+        classes = langid._classes()
+        kinds = [0, *(int(classes[ord(c)]) if ord(c) < 65536 else (27 + (ord(c) * 2654435761 >> 7) % 101 if c.isalpha() else 0) for c in text.lower()), 0]
+        out = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+            if a or b or c:
+                out += letters[0][a] * letters[1][b].astype(int) * letters[2][c]
+        return out
+
+    def cosine(a, b):
+        return a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12)
+
+    seen = {}
+    for r in rows(langid.predict(docs, profiles, {"doc_id": docs["doc_id"], "t": docs["text"]})):
+        text = r["t"] or ""
+        if len(text) > 4000 or not any(c.isalpha() for c in text):
+            assert len(text) > 4000 or (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = vector(text)
+        each = {k: cosine(v, p) for k, p in profiles.items()}
+        assert each[r["lang_pred"]] > max(each.values()) - 1e-9 and abs(r["score"] - max(each[r["lang_pred"]], 0)) < 1e-9
+        assert seen.setdefault(text, r["score"]) == r["score"]
+
+
+def test_language_memory_on_many_different_letters():
+    import tracemalloc
+
+    r = np.random.default_rng(10)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9F00, 20_000))) for _ in range(128)]
+    langid._classes(), langid._letters(langid.DIMENSIONS)
+    tracemalloc.start()
+    v = np.zeros((128, langid.DIMENSIONS), np.float32)
+    for codes, counts in langid._counts(texts)[2]:
+        v += counts.astype(np.float32) @ langid._vectors(codes, langid.DIMENSIONS).astype(np.float32)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 500 and (v[5] == sum(langid._vectors(langid._grams(texts[5])[0][i : i + 5000], langid.DIMENSIONS).astype(int).sum(0) for i in range(0, 20_000, 5000))).all()
+
+
 # ---- 1 and 7
 
 
