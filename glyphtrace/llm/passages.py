@@ -65,9 +65,9 @@ def mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def windows(h: np.ndarray, least: int, ties: bool) -> list[tuple[int, int, int]]:
+def windows(h: np.ndarray, least: int, twice: np.ndarray | None) -> list[tuple[int, int, int]]:
     """Compact windows of at least ``least`` tokens. Of equal smallest hashes the one nearest the middle is the
-    root, so runs of one token give a balanced tree."""
+    root, so runs of one token give a balanced tree; ``twice`` marks tokens that stand more than once."""
     out, todo = [], [(0, h.size - 1)]
     while todo:
         l, r = todo.pop()
@@ -75,12 +75,15 @@ def windows(h: np.ndarray, least: int, ties: bool) -> list[tuple[int, int, int]]
             continue
         part = h[l : r + 1]
         c = int(part.argmin())
-        if ties and r - l < 4096 or ties and part[c] == part[-1]:
+        if twice is not None and twice[l + c]:
             same = np.flatnonzero(part == part[c])
             c = int(same[np.abs(same - (r - l) / 2).argmin()])
         c += l
         out.append((l, c, r))
-        todo += [(l, c - 1), (c + 1, r)]
+        if c - l >= least:
+            todo.append((l, c - 1))
+        if r - c >= least:
+            todo.append((c + 1, r))
     return out
 
 
@@ -106,14 +109,12 @@ def rolled(s: np.ndarray, width: int) -> np.ndarray:
     return mixed(out, 9)
 
 
-def signs(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Slots x windows: the second hash of each interval around ``c``, in ``SIGN`` bits."""
+def signs(h: np.ndarray) -> np.ndarray:
+    """For each place the second hash, in ``SIGN`` bits, of the interval that starts there, after ``STEP * (SLOTS - 1)``
+    zeros and before as many as places ask for."""
     low = lowest(h, COMMON)
-    out = np.zeros((SLOTS, c.size), np.int64)
-    for i in range(SLOTS):
-        at = c - STEP * i
-        inside = (at >= 0) & (at < low.size)
-        out[i, inside] = np.maximum((low[at[inside]] >> np.uint64(64 - SIGN)).astype(np.int64), 1)
+    out = np.zeros(h.size + STEP * (SLOTS - 1), np.int64)
+    out[STEP * (SLOTS - 1) : STEP * (SLOTS - 1) + low.size] = np.maximum((low >> np.uint64(64 - SIGN)).view(np.int64), 1)
     return out
 
 
@@ -130,12 +131,14 @@ def _emit(batch: pa.RecordBatch, least: int, hashes: int) -> pa.RecordBatch:
         s = shingles(text)
         if s.size < least:
             continue
-        ties = np.unique(s).size < s.size
+        _, back, count = np.unique(s, return_inverse=True, return_counts=True)
+        twice = count[back] > 1 if count.size < s.size else None
         each = [mixed(s, k + 1) for k in range(hashes)]
+        second = [signs(h) for h in each]
         for k, h in enumerate(each):
-            w = np.array(windows(h, least, ties), np.int64)
+            w = np.array(windows(h, least, twice), np.int64)
             c = w[:, 1]
-            v = signs(each[(k + 1) % hashes], c)
+            v = [second[(k + 1) % hashes][c + STEP * (SLOTS - 1 - i)] for i in range(SLOTS)]
             at = c << 2 * REACH | np.minimum(c - w[:, 0], reach) << REACH | np.minimum(w[:, 2] - c, reach)
             parts.append((h[c].view(np.int64) & ~7 | k, np.full(c.size, tid), at, v[0] | v[1] << SIGN | v[2] << 2 * SIGN, v[3] | v[4] << SIGN))
     key, tid, at, s1, s2 = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 5))
@@ -390,8 +393,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     found = _compared(texts, pairs)
     # The first window of a class has been compared with all; those that failed may still go with one another.
     failed = materialize(_failed(links, found))
-    many = failed.groupBy("cls").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low < high").select("cls")
-    again = failed.join(many, "cls", "left_semi").groupBy("tid").agg(F.array_distinct(F.collect_list("at")).alias("places"))  # of one text
+    many = failed.groupBy("cls").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count("*").alias("n")).where("low < high").select("cls", "n")
+    again = join_spread(failed, many, "cls").groupBy("tid").agg(F.array_distinct(F.collect_list("at")).alias("places"))  # of one text
     again = materialize(again)
     near = _of(texts, again.select("tid"))(lambda p: p, "tid long, text string").groupBy("tid").agg(F.first("text").alias("text"))
     fine = materialize(near.join(again, "tid").mapInArrow(lambda it: (_around(p) for b in it for p in slices(b, 64)), "cls long, tid long, at long"))
