@@ -80,6 +80,20 @@ def sieve(keys: DataFrame, bits: int = 1 << 23) -> Callable[[np.ndarray], np.nda
     return test
 
 
+def may_be_in(rows: DataFrame, col: str, keys: DataFrame, name: str, most: int = 1 << 30) -> DataFrame:
+    """``rows`` with a boolean ``name``: true for every row whose long ``col`` is in the one column of ``keys``, and false
+    for nearly all others. A table of 16 bits a key, 128 MB at most, is what every task gets; no row is shuffled."""
+    bits = min(max(1 << 15, 1 << (16 * keys.count()).bit_length()), most)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    hits = keys.select(at(F.col(keys.columns[0])).alias("x"))
+    maps = hits.groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
+    place = F.bitmap_bit_position(at(F.col(col)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.get(F.array(*(F.lit(1 << k) for k in range(8))), place.bitwiseAND(F.lit(7)).cast("int"))) != 0, F.lit(False))
+    both = rows.withColumn("_bucket", F.bitmap_bucket_number(at(F.col(col)))).join(F.broadcast(maps), "_bucket", "left")
+    return both.withColumn(name, hit).drop("_bucket", "_bits")
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text``; a null text becomes empty."""
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))

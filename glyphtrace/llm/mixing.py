@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every document gets a key that is a hash of its id. A source's documents are ordered by that key; the
+Every document gets a key that is a hash of its id and text. A source's documents are ordered by that key; the
 key's leading digits cut a source into ranges of about equal size, each range is summed by itself and
 shifted by the sums of the ranges before it, and the source's budget cuts where it is reached. A
 budget above the source's size takes whole passes first.
@@ -8,19 +8,20 @@ budget above the source's size takes whole passes first.
 Targets: sources by code point (null last) weigh ``weights`` in turn and share ``share`` of all sizes;
 none goes above ``most`` times its size, the excess goes to the others by weight (water level).
 
-Cases: null texts have size 0; null ids hash like the empty text; rows of equal id and size are
-interchangeable; extra columns are not read; no documents, no rows.
+Cases: null texts have size 0 and hash like the empty text, as do null ids; rows of equal id and text are
+interchangeable; texts of any length are read whole; extra columns are not read; no documents, no rows. Ranges are as
+many as rows ask for, so one id, or none, in a third of all rows does not make one range of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prefix_sums
 
-#: Digits of the hex key that make a range: 4096 ranges of a source.
-RANGE_DIGITS = 3
+#: Rows of a range, about, and the most digits of the hex key that make one.
+ROWS, DIGITS = 50_000, 7
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -46,11 +47,18 @@ def word_count(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``."""
-    key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary"))
+def mix_order(id_col: Column, text_col: Column | None = None) -> Column:
+    """The key by which a source's documents are ordered: a hash of id and text, so rows of one id are spread."""
+    parts = [F.coalesce(id_col.cast("string"), F.lit(""))] + ([F.coalesce(text_col, F.lit(""))] if text_col is not None else [])
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, keep_source: bool = False) -> DataFrame:
+    """``doc_id, size, source_size, target, taken``; with ``keep_source`` also ``source`` and ``order``, the key (then of the id alone)."""
+    key = mix_order(docs[id_col], None if keep_source else docs[text_col])
     slim = materialize(docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), key.alias("key")))
-    slim = slim.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    digits = next((k for k in range(1, DIGITS) if 16**k * ROWS >= slim.count()), DIGITS)
+    slim = slim.withColumn("part", F.substring("key", 1, digits))
     ranges = slim.groupBy("source", "part").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = materialize(ranges.withColumn("shift", F.coalesce(F.sum("sum").over(before), F.lit(0))))
@@ -63,11 +71,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.coalesce(F.expr("budget div nullif(source_size, 0)"), F.lit(0))
     rest = F.col("budget") - passes * F.col("source_size") - F.col("shift") - F.col("before")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    more = [F.col("l.source").alias("source"), F.col("key").alias("order")] if keep_source else []
+    return both.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *more)
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS k,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS r FROM d GROUP BY source),

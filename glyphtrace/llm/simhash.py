@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop, join_spread, map_arrow, materialize
+from .common import documents, drop, join_spread, map_arrow, materialize, sieve, slices
 
-DISTANCE, WORDS, SEED = 4, 4, 42
+DISTANCE, WORDS, SEED, SKETCHES = 4, 4, 42, 4
 #: Members of a variant's group that one task compares; larger groups go to pairs of blocks.
 GROUP = 20_000
 
@@ -75,12 +75,18 @@ def masks(picks: int) -> list[int]:
 
 
 def picks_for(distinct: int) -> int:
-    """Segments in a key, so that few fingerprints share one by chance: keys of 20, 25, 31 and 35 bits or more."""
-    return next((p for p, most in ((1, 1 << 21), (2, 1 << 27), (3, 1 << 33)) if distinct <= most), 4)
+    """Segments in a key, so that no more than some 64 fingerprints share one by chance: keys of 20, 25, 31 and 35 bits.
+    A fingerprint has 64, 256, 640 or 1,280 variants of 16 bytes: 1, 4, 10 or 20 KB of index; every choice finds every link."""
+    return next((p for p, most in ((1, 1 << 26), (2, 1 << 31), (3, 1 << 37)) if distinct <= most), 4)
 
 
 def forest(x: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Links that connect what is within ``distance``, by breadth-first search over what is left."""
+    if x.size <= 256:
+        near = (np.bitwise_count(x[:, None] ^ x) <= distance).sum(1) > 1
+        if not near.any():
+            return []
+        x = x[near]
     out, left = [], x
     while left.size > 1:
         reached, left = [left[0]], left[1:]
@@ -166,7 +172,8 @@ def link(fps: DataFrame, distance: int = DISTANCE, picks: int | None = None, gro
     if picks is None:
         picks = picks_for(fps.count())
     variants = fps.select(F.posexplode(F.array(*(F.lit(m) for m in masks(picks)))).alias("k1", "m"), "fp")
-    keyed = variants.select(F.col("k1").cast("long").alias("k1"), F.col("fp").bitwiseAND(F.col("m")).alias("k2"), "fp")
+    # One number for a variant; a chance meeting of two variants only adds to a group, whose members are all verified.
+    keyed = variants.select(F.lit(0).cast("long").alias("k1"), F.xxhash64("k1", F.col("fp").bitwiseAND(F.col("m"))).alias("k2"), "fp")
     found = materialize(_compare(keyed, group, distance))
     links, late = found.where("k1 < 0").select("a", "b"), found.where("k1 >= 0")
     if late.limit(1).count():  # blocks of half a group, every pair of blocks in a task of its own
@@ -212,5 +219,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_spread(own, named.select("fp", "component_id", F.col("rows").alias("n")), "fp").select("doc_id", "fp", "component_id")
 
 
+def sketches(text: str, seeds: int = SKETCHES) -> list[int]:
+    """Fingerprints of 62 bits of a text's different words, each under a hash of its own; the seed is the upper two bits."""
+    words = set(text.encode().lower().split())
+    if not words:
+        return [k << 62 for k in range(seeds)]
+    h, out = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64), []
+    for k in range(seeds):
+        x = (h ^ np.uint64(0xA24BAED4963EE407 * (k + 1) & (1 << 64) - 1)) * np.uint64(0x9FB21C651E98DF25)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, x.size, 1 << 15):
+            ones += np.unpackbits(x[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > x.size, bitorder="little").view("<u8")[0]) & (1 << 62) - 1 | k << 62)
+    return out
+
+
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    """Different 64-bit hashes of all runs of ``words`` words, of the whole text where it is shorter; none of no words."""
+    tokens = text.encode().lower().split()
+    n = len(tokens)
+    if n <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), SEED)] if n else [], np.uint64).view(np.int64)
+    joined = b" ".join(tokens)
+    size = np.fromiter(map(len, tokens), np.int64, n)
+    end = np.cumsum(size + 1) - 1
+    spans = zip((end - size)[: n - words + 1].tolist(), end[words - 1 :].tolist())
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)).view(np.int64)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, distance: int = DISTANCE) -> DataFrame:
+    """``doc_id, component_id``: the smallest id that links between texts reach whose five-word shingles have a Jaccard
+    similarity of ``least`` or more.
+
+    Candidates are texts that have one of ``SKETCHES`` fingerprints of their different words within ``distance``, by the
+    same variants as ``near_duplicates``; single words, since an edit changes fewer of them than of shingles. Equal
+    fingerprints and linked ones meet by their smallest text. Pairs are then verified.
+    """
+    source = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batch):
+        each = np.array([sketches(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1).view(np.int64)
+        return {"doc_id": batch.column("doc_id"), "tid": batch.column("tid"), "f": pa.ListArray.from_arrays(np.arange(0, each.size + 1, SKETCHES, np.int32), each)}
+
+    own = materialize(map_arrow(source, run, f"doc_id {kind}, tid long, f array<long>"))
+    texts = materialize(own.groupBy("tid").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("f").alias("f")))
+    nodes = texts.select("tid", F.explode("f").alias("fp"))
+    heads = materialize(nodes.groupBy("fp").agg(F.min("tid").alias("head"), F.max("tid").alias("high"), F.count("*").alias("n")))
+    same = join_spread(nodes, heads.where("head < high").select("fp", "head", "n"), "fp").where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
+    links, one = link(heads.select("fp"), distance), heads.select("fp", "head")
+    between = links.join(one.toDF("a", "ha"), "a").join(one.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    pairs = same.union(between).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs)
+    may = sieve(pairs.select(F.explode(F.array("a", "b")).alias("tid")))
+
+    def sets(batches):
+        for batch in batches:
+            for part in slices(batch.filter(pa.array(may(batch.column("tid").to_numpy())))):
+                yield pa.RecordBatch.from_arrays([part.column("tid"), pa.array([shingle_set(t) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))], ["tid", "s"])
+
+    held = materialize(source.select("tid", "text").mapInArrow(sets, "tid long, s array<long>").groupBy("tid").agg(F.first("s").alias("s")))
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = materialize(both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    found = components(links)
+    rooted = materialize(texts.drop("f").join(found, texts.tid == found.node, "left").select("tid", "low", "n", F.coalesce("root", "tid").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = join_spread(rooted.select("root", "tid", F.col("n").alias("rows")), lowest, "root")
+    out = join_spread(own.drop("f"), named.select("tid", "component_id", F.col("rows").alias("n")), "tid").select("doc_id", "component_id")
+    drop(pairs, held, heads, texts)
+    return out
+
+
 def hex_fingerprint(col):
     return F.lpad(F.lower(F.hex(col)), 16, "0")

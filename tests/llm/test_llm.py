@@ -674,7 +674,7 @@ def test_compact_windows_cover_every_subsequence():
     r = np.random.default_rng(4)
     for ties in (False, True):
         h = r.integers(0, 5 if ties else 1 << 40, 60).astype(np.uint64)
-        w = passages.windows(h, 8, ties)
+        w = passages.windows(h, 8, np.ones(60, bool) if ties else None)
         for i in range(60):
             for j in range(i + 7, 60):
                 assert any(a <= i <= c <= j <= b and h[c] == h[i : j + 1].min() for a, c, b in w)
@@ -683,15 +683,72 @@ def test_compact_windows_cover_every_subsequence():
 # ---- stages and odd tables
 
 
+def brute_alike(a, b, k=5):
+    def grams(t):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    x, y = grams(a), grams(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
 def test_stages_keep_columns(spark, docs):
-    kept = stages.one_of_each(docs)
-    assert kept.columns == docs.columns
-    fps = [(brute_fingerprint(r["text"] or "")) for r in docs.collect()]
-    assert kept.count() == len(set(brute_components(fps, list(range(len(fps))))))
-    mixed = stages.mixed(docs)
-    assert mixed.columns == docs.columns
+    odd = docs.withColumn("a.b", F.lit(7)).withColumn("told", F.lit("x")).withColumn("row", F.lit(1))
+    kept = stages.one_of_each(odd)
+    assert kept.columns == odd.columns
+    data = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    root = brute_classes([(i, j) for i in range(len(data)) for j in range(i) if brute_alike(data[i][1], data[j][1])], len(data))
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    place = {d: i for i, d in enumerate(data)}
+    assert len(got) == len(set(got)) and {root[place[d]] for d in got} == set(root)  # one of each at least
+    assert len(got) <= len(set(root)) + 1  # chance leaves a pair unmet
+    first = {}
+    for (d, _), k in zip(data, root):
+        first[k] = min(first.get(k, (2, 0)), (d is not None, d or 0))
+    assert sum(((d is not None), d or 0) == first[root[place[(d, t)]]] for d, t in got) >= len(set(root)) - 1
+    mixed = stages.mixed(odd)
+    assert mixed.columns == odd.columns
     words = lambda df: sum(len((r["text"] or "").encode().split()) for r in df.collect())
-    assert words(mixed) == sum(r["taken"] for r in rows(mixing.mix(docs)))
+    plan = rows(mixing.mix(docs.withColumn("k", stages.row_key(docs["doc_id"], docs["text"])), "k", keep_source=True))
+    assert words(mixed) == sum(r["taken"] for r in plan)
+    want = defaultdict(int)
+    for r in plan:
+        want[r["doc_id"]] += r["taken"]
+    took = defaultdict(int)
+    back = docs.select(stages.row_key(docs["doc_id"], docs["text"]).alias("k"), "doc_id", "source").collect()
+    by_id = Counter(r["doc_id"] for r in back)
+    key_of = {r["doc_id"]: r["k"] for r in back}
+    for r in mixed.collect():
+        took[r["doc_id"]] += len((r["text"] or "").encode().split())
+    assert all(took[d] == want[key_of[d]] for d, n in by_id.items() if n == 1)
+
+
+def test_near_copies_are_caught_and_others_left_alone(spark):
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    texts, near = [], 0
+    for k in range(300):
+        t = [r.choice(words) for _ in range(r.randint(80, 400))]
+        e = list(t)
+        for _ in range(1 + len(t) // 120):
+            e[r.randrange(len(e))] = r.choice(words)
+        texts += [" ".join(t), " ".join(e)]
+        near += brute_alike(texts[-1], texts[-2])
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(4)
+    kept = {x["doc_id"] for x in stages.one_of_each(df).collect()}
+    assert all(2 * k in kept for k in range(300))
+    assert near > 250 and (600 - len(kept)) >= 0.9 * near
+
+
+def test_stages_with_a_third_of_all_rows_alike(spark):
+    rows_of = [(None if i % 3 == 0 else i, "same words in all of these rows" if i % 3 == 1 else f"text number {i} of many", "hot" if i % 3 else "cold") for i in range(3000)]
+    df = spark.createDataFrame(rows_of, "doc_id long, text string, source string").repartition(5)
+    kept = stages.one_of_each(df).collect()
+    assert len(kept) == 2001 and sum(x["doc_id"] is None for x in kept) == 1000
+    plan = rows(mixing.mix(df))
+    took = sum(len(x["text"].split()) for x in stages.mixed(df).collect())
+    assert len(plan) == 3000 and abs(took - sum(r["taken"] for r in plan)) <= 1
+    assert sorted(Counter(x["doc_id"] for x in stages.mixed(df).collect()).items(), key=str) == sorted(Counter(x["doc_id"] for x in stages.mixed(df.repartition(2)).collect()).items(), key=str)
 
 
 def test_empty_tables(spark, none):
