@@ -60,4 +60,4 @@ def op10_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_secret_ownership, op3_repeated_passages, op4_media_columns, op5_byte_bpe, op6_winnowing, op7_toxic_spans, op8_source_mix, op9_simhash_dedup, op10_language_hd)}
-ORACLE = {"op8_source_mix": mixing.ORACLE}
+ORACLE = {"op2_secret_ownership": secrets.ORACLE, "op8_source_mix": mixing.ORACLE}

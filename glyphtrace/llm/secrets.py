@@ -10,7 +10,8 @@ hold it, the one with most texts that have the value. So a value in a single tex
 text was copied. Near copies count as texts of their own.
 
 Cases: null texts are empty; null owners and repositories count as one each; rows of equal id and text
-get equal results; empty in, empty out; columns that are not named are not read.
+get equal results; where a value's texts are spread evenly over holders, the holder that is last by code point has them;
+texts of any length are read whole; empty in, empty out; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import map_arrow, materialize, may_be_in
 
 KINDS = ("assign", "access", "hex", "live")
 #: Only ASCII letters fold: a long s or a Kelvin sign is no keyword's letter.
@@ -34,7 +35,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as longer runs of [0-9a-f]+ : runs are matched from their start
 #: Repositories of one owner that may have a value before it counts as a copied example.
 MAX_REPOS = 20
-SAMPLE = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|xxx|\*\*\*|1234567|abcdef", re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, str]]:
@@ -46,12 +46,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, str]]:
 
 
 def looks_live(value: str) -> bool:
-    """High entropy for its length and none of the words that samples carry."""
-    if len(value) < 8 or SAMPLE.search(value):
-        return False
+    """High entropy for its length. No list of words that samples carry: how many have the value decides that."""
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return entropy >= min(3.0, 0.75 * math.log2(n))
+    if n < 8:
+        return False
+    entropy = -sum(c / n * math.log2(c / n) for c in sorted(Counter(value).values()))
+    return entropy + 1e-9 >= min(3.0, 0.75 * math.log2(n))
 
 
 def row_key(id_col: Column, text_col: Column) -> Column:
@@ -118,14 +118,22 @@ def secret_spans(docs: DataFrame, max_owners: int = 1, max_repos: int = MAX_REPO
 
 
 def redact(docs: DataFrame, max_owners: int = 1, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_repos: int = MAX_REPOS) -> DataFrame:
-    """All rows and columns of ``docs``; owner-specific live-looking values in the text give way to ``mask``."""
+    """All rows and columns of ``docs``; owner-specific live-looking values in the text give way to ``mask``. Only rows that
+    have such values, and the few that a bitmap of their keys takes for such, are joined to them."""
     live = live_spans(scan(docs, id_col, text_col, owner_col, repo_col), max_owners, max_repos)
+    live = materialize(live.select(F.col("key").alias("_live_key"), F.array_sort(F.transform("live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("_live")))
+    own = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("_live_key"), own.alias("row")).withColumn("h", F.xxhash64("_live_key"))
+    told = may_be_in(rows, "h", live.select(F.xxhash64("_live_key")), "told")
+    both = told.where("told").join(live, "_live_key", "left")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def one(text, found):
+            if found is None:
+                return text
             out, at = [], 0
-            for a, b in sorted((s["start"], s["end"]) for s in found):
+            for a, b in ((s["start"], s["end"]) for s in found):
                 if b > at:
                     out += [text[at : max(a, at)], mask]
                     at = b
@@ -133,9 +141,41 @@ def redact(docs: DataFrame, max_owners: int = 1, mask: str = "[SECRET]", id_col:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    row = docs.select(row_key(docs[id_col], docs[text_col]).alias("key"), F.struct(*docs.columns).alias("row"))
-    both = row.join(live, "key", "left")
-    clean, dirty = both.where("live IS NULL"), both.where("live IS NOT NULL")
-    new = dirty.select("row", masked(F.col("row")[text_col], "live").alias("new"))
-    new = new.select(*((F.col("new") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
-    return clean.select("row.*").unionByName(new)
+    new = both.select("row", masked(F.col("row").getField(text_col), "_live").alias("new"))
+    new = new.select(*((F.col("new") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return told.where("NOT told").select(*(F.col("row").getField(c).alias(c) for c in docs.columns)).unionByName(new)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES
+  (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]{24,}')) AS x(kind, pattern)),
+m AS (SELECT doc_id, source, t, kind, pattern, regexp_extract_all(t, pattern) AS hits, string_split_regex(t, pattern) AS rest
+      FROM d, p WHERE regexp_matches(t, pattern)),
+e AS (SELECT doc_id, source, t, kind, hits[i] AS hit, pattern,
+             list_sum(list_transform(rest[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS b
+      FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+v AS (SELECT *, CASE WHEN kind = 0 THEN regexp_extract(hit, pattern, 2) ELSE hit END AS value FROM e),
+s AS (SELECT doc_id, source, t, kind, CAST(b AS BIGINT) AS b, CAST(b + length(hit) AS BIGINT) AS f, value FROM v
+      WHERE length(value) >= CASE kind WHEN 0 THEN 6 WHEN 1 THEN 20 ELSE 24 END),
+h AS (SELECT value, list_sum(list_transform(map_values(histogram), lambda c: -(c / length(value)) * log2(c / length(value)))) AS entropy
+      FROM (SELECT value, list_histogram(string_split(value, '')) AS histogram FROM (SELECT DISTINCT value FROM s))),
+c AS (SELECT DISTINCT value, array_to_string(list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> ''), ' ') AS copy,
+             coalesce('=' || source, '') AS owner, coalesce('=' || CAST(doc_id AS VARCHAR), '') AS repo FROM s),
+co AS (SELECT value, copy, owner, count(*) OVER (PARTITION BY value, owner) AS n FROM (SELECT DISTINCT value, copy, owner FROM c)),
+cr AS (SELECT value, copy, repo, count(*) OVER (PARTITION BY value, repo) AS n FROM (SELECT DISTINCT value, copy, repo FROM c)),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM (SELECT value, copy, arg_max(owner, (n, owner)) AS owner FROM co GROUP BY ALL) GROUP BY value),
+r AS (SELECT value, count(DISTINCT repo) AS repos FROM (SELECT value, copy, arg_max(repo, (n, repo)) AS repo FROM cr GROUP BY ALL) GROUP BY value),
+live AS (SELECT value FROM o JOIN r USING (value) JOIN h USING (value)
+         WHERE owners <= 1 AND repos <= 20 AND length(value) >= 8 AND entropy + 1e-9 >= least(3.0, 0.75 * log2(length(value)))),
+g AS (SELECT doc_id, kind, b, f FROM s UNION
+      SELECT doc_id, 3, b + CASE WHEN kind = 0 THEN f - b - length(value) ELSE 0 END, f FROM s JOIN live USING (value)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+             coalesce(string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' ELSE 'hex' END || ':' || b || ':' || f, ',' ORDER BY b, kind) FILTER (kind < 3), '') AS base,
+             string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END || ':' || b || ':' || f, ',' ORDER BY b, kind) AS spans,
+             count(*) FILTER (kind = 3) AS n_live FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_live, 0) AS BIGINT) AS n_live
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+"""

@@ -243,6 +243,73 @@ def test_secrets_of_copied_documents_and_of_examples_in_one_source(spark):
     assert {r["doc_id"] for r in rows(secrets.redact(df)) if "[SECRET]" in r["text"]} == {1, 2, 3}
 
 
+def test_base_spans_against_a_scan_by_hand():
+    """Every start in turn, by string operations only."""
+    word, value, hexa = "password passwd secret token api_key apikey".split(), set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("0123456789abcdef")
+
+    def run(t, at, allowed):
+        while at < len(t) and t[at] in allowed:
+            at += 1
+        return at
+
+    def assign(t, at):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        for w in sorted(word, key=len, reverse=True):
+            if low.startswith(w, at):
+                for quoted in (1, 0):
+                    k = at + len(w)
+                    if quoted and (k >= len(t) or t[k] not in "\"'"):
+                        continue
+                    k = run(t, k + quoted, " ")
+                    if k < len(t) and t[k] in ":=":
+                        k = run(t, k + 1, " ")
+                        k += k < len(t) and t[k] in "\"'"
+                        if (end := run(t, k, value)) > k:
+                            return k, end
+        return None
+
+    def slow(t):
+        out, at = [], 0
+        while at < len(t):
+            if found := assign(t, at):
+                if found[1] - found[0] >= 6:
+                    out.append((at, 0, found[1], found[0], t[found[0] : found[1]]))
+                at = found[1]
+            else:
+                at += 1
+        at = 0
+        while at < len(t):
+            end = run(t, at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if t.startswith("AKIA", at) else at
+            if end > at + 4:
+                if end - at >= 20:
+                    out.append((at, 1, end, at, t[at:end]))
+                at = end
+            else:
+                at += 1
+        at = 0
+        while at < len(t):
+            end = run(t, at, hexa)
+            if end - at >= 24:
+                out.append((at, 2, end, at, t[at:end]))
+            at = max(end, at + 1)
+        return sorted(out)
+
+    r = random.Random(41)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "AKIA", "'", '"', ":", "=", " ", "  ", "abc123", "deadbeef" * 3, "Zx9", "0" * 23, "\u017fecret", "\u212aEY", "\n", "é", "Q7" * 9, "-", "tok", "en="]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 25)))
+        assert secrets.base_spans(t) == slow(t), t
+
+
+def test_one_owner_of_a_widely_copied_value(spark):
+    value = "Hv52TtKq9dWy4bNs"
+    df = spark.createDataFrame([(i, f"text {i} token={value}", "o1", "x") for i in range(400)] + [(900 + i, f"token=Zq{i}8812LmPqRsTu", "o1", "x") for i in range(3)] + [(None, None, None, "x")], "doc_id long, text string, source string, `live` string")
+    got = rows(secrets.secret_spans(df))
+    assert len(got) == 404 and {r["doc_id"] for r in got if r["n_live"]} == {900, 901, 902}
+    clean = secrets.redact(df.withColumnRenamed("live", "_live").withColumn("a.b", F.lit(1)))
+    assert clean.columns == ["doc_id", "text", "source", "_live", "a.b"] and sum("[SECRET]" in (r["text"] or "") for r in clean.collect()) == 3 and clean.count() == 404
+
+
 # ---- 10
 
 
