@@ -828,12 +828,56 @@ def test_empty_tables(spark, none):
         assert df.count() == 0
 
 
-def test_pipeline_runs(spark, tmp_path, docs):
+def test_pipeline_against_brute_force(spark, tmp_path, docs):
     import corpus_pipeline
 
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "secret_scans", "mixing_sources", "byte_bpe"]
     d, labels = labelled(spark)
     both = docs.select("doc_id", "text", "lang", "source", "n_chars")
     d.select(F.col("doc_id") + 1000, "text", F.lit("en"), F.lit("s1"), F.length("text").cast("long")).toDF(*both.columns).union(both).write.parquet(f"{tmp_path}/documents.parquet")
     labels.withColumn("doc_id", F.col("doc_id") + 1000).write.parquet(f"{tmp_path}/labels.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and out.count() > 100
+    out = [(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    everything = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    # Stage by stage on plain rows; a model's verdicts come from its scores, the rest from first principles.
+    field = toxicity.train(everything, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    left = [(r["doc_id"], r["text"] or "", r["source"]) for r in everything.collect()]
+    left = [x for x in left if field.score(field.marginals([x[1]]))[0] < 0.7]
+    left = sorted(set(left), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(f"{'-' if x[0] is None else x[0]}|{x[1]}".encode()).hexdigest()))
+    root = brute_classes([(i, j) for i in range(len(left)) for j in range(i) if brute_alike(left[i][1], left[j][1])], len(left))
+    left = [x for i, x in enumerate(left) if root[i] == i]
+    holders = defaultdict(set)
+    for i, t, s in left:
+        for *_, v in secrets.base_spans(t):
+            holders[v].add((i, s, " ".join(t.lower().split())))
+    masked = []
+    for i, t, s in left:
+        for a, _, b, v, x in sorted(secrets.base_spans(t), reverse=True):
+            if secrets.looks_live(x) and len({c for _, _, c in holders[x]}) == 1:
+                t = t[:v] + "[SECRET]" + t[v + len(x) :]
+        masked.append((i, t, s))
+    size = {x: len(x[1].encode().split()) for x in masked}
+    key = lambda x: hashlib.md5(hashlib.md5(f"{'-' if x[0] is None else x[0]}|{x[1]}".encode()).hexdigest().encode()).hexdigest()
+    names = sorted({x[2] for x in masked}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[x] for x in masked if x[2] == s) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target, capped = {}, set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = 1.5 * sum(total.values()) - sum(2 * total[s] for s in capped)
+        target = {s: 2.0 * total[s] for s in capped} | {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        if not (over := {s for s in free if target[s] > 2 * total[s]}):
+            break
+        capped |= over
+    want = []
+    for s in names:
+        mine = sorted((x for x in masked if x[2] == s), key=key)
+        budget = int(target[s])
+        for k in range(3):
+            for x in mine:
+                take = min(budget, size[x])
+                budget -= take
+                if take:
+                    text = x[1] if take == size[x] else "".join(__import__("re").findall(r"[^ \t-\r]+[ \t-\r]*", x[1])[:take])
+                    want.append((x[0], hashlib.sha256(text.encode()).hexdigest()))
+    same = sum((Counter(out) & Counter(want)).values())
+    assert abs(len(out) - len(want)) <= 3 and same >= 0.97 * len(want)  # a pair of near copies may be left unmet, which shifts a cut
