@@ -32,8 +32,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return winnow.compare(table(spark, sf_dir, "documents"), ranges)
+    return winnow.compare(table(spark, sf_dir, "documents"))
 
 
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,19 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Tokens are runs of anything but white space. In runs of over ``PIECE`` code points that are not all ASCII every
-code point is a token, so scripts without spaces have grams at every offset; long ASCII runs (base64) are cut into
-pieces of ``PIECE`` from their start, and what they share is found only at offsets a multiple of it apart. The hash of ``K`` tokens in a row is a gram's hash; of every ``WINDOW`` grams in
-a row the smallest is kept, the rightmost among equals, with its place. Any passage of ``K + WINDOW - 1``
-tokens that two texts share gives them a common hash, and so does any of over ``PIECE`` code
-points without white space that are not all ASCII. Grams are hashed one by one, from the hashes of their ``K`` tokens.
+Tokens are runs of anything but white space; in runs of over ``PIECE`` code points every code point is a token, so scripts
+without spaces, and data such as base64, have grams at every offset. A gram's hash is a cyclic polynomial over the 64-bit hashes
+of ``K`` tokens in a row: it rolls by one rotation, and grams of two and of four tokens, shared by neighbours, make it up.
+Of every ``WINDOW`` grams in a row the smallest is kept, the rightmost among equals, with its place. Any passage of
+``K + WINDOW - 1`` tokens that two texts share gives them a common hash.
 
-A gram is one number: its hash in the upper 32 bits and its place, counted down, in the lower 31, so the
-smallest number of a window is its smallest hash and of equals the rightmost. Window minima double in
-width (2, 4, 8, 16 grams), so each costs four comparisons.
+Grams are ordered by the upper half of their hash. A gram is one number then: that half in the upper bits and its place,
+counted down, in the lower 31, so the smallest number of a window is its smallest hash and of equals the rightmost. Window
+minima double in width (2, 4, 8, 16 grams), so each costs four comparisons. What is kept has the whole hash.
 
 Cases: null and empty texts have an empty fingerprint; texts shorter than a gram or a window count as
 one; two empty fingerprints are alike (1.0), an empty and another are not (0.0). Rows are ordered by id
-downwards (null last), then text; repeated rows follow one another.
+downwards (null last), then by a hash of the text; rows of equal id and text follow one another; a single row follows itself;
+texts of any length are read whole; columns that are not named are not read; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 K, WINDOW, PIECE, PLACES = 5, 16, 24, (1 << 31) - 1
-BEYOND = r"[^\x00-\x7F]"
+TOKEN = r"(?<!\S)\S{1,%d}(?!\S)|\S" % PIECE
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,45 +34,37 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _finer(text: Column) -> Column:
-    """Tokens of a text with runs of over ``PIECE`` code points that are not all ASCII."""
+def _turned(x: Column, n: int) -> Column:
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
 
-    def cut(run: Column) -> Column:
-        fine = (F.length(run) > PIECE) & run.rlike(BEYOND)
-        size = F.when(fine, r"[^\s]").otherwise(r"[^\s]{1,%d}" % PIECE)
-        return F.regexp_extract_all(run, size, F.lit(0))
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0)), cut))
+def _joined(a: Column, b: Column, n: int, step: int) -> Column:
+    """Each number of ``a`` turned by ``n`` bits, with the one of ``b`` that stands ``step`` places on."""
+    return F.transform(a, lambda x, i: _turned(x, n).bitwiseXOR(F.coalesce(F.get(b, i + step), F.lit(0).cast("long"))))
 
 
 def grams(text: Column) -> Column:
-    """The packed numbers of all grams in order."""
-    tokens = F.regexp_extract_all(text, F.lit(r"[^\s]{1,%d}" % PIECE), F.lit(0))
-    long = text.rlike(r"[^\s]{%d}" % (PIECE + 1)) & text.rlike(BEYOND)
-    hashes = F.transform(F.when(long, _finer(text)).otherwise(tokens), lambda t: F.xxhash64(t))
-
-    def pack(h: Column) -> Column:
-        count = F.greatest(F.size(h) - (K - 1), F.least(F.size(h), F.lit(1)))
-
-        def gram(x: Column, i: Column) -> Column:
-            mixed = F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K)))
-            return F.shiftleft(F.shiftrightunsigned(mixed, 32), 31).bitwiseOR(F.lit(PLACES) - i)
+    """The hashes of all grams in order."""
+    hashes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    count = lambda h: F.greatest(F.size(h) - (K - 1), F.least(F.size(h), F.lit(1)))
+    four = lambda h: bind(_joined(h, h, 1, 1), lambda two: _joined(two, two, 2, 2))
+    return bind(hashes, lambda h: F.slice(bind(four(h), lambda f: _joined(f, h, 1, K - 1)), F.lit(1), count(h)))
 
-        return F.transform(F.slice(h, F.lit(1), count), gram)
 
-    return bind(hashes, pack)
+def winnow(text: Column) -> Column:
+    """Structs ``hash, place`` of the grams that are kept, in order of their windows."""
 
+    def kept(g: Column) -> Column:
+        width, out = 1, F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 32), 31).bitwiseOR(F.lit(PLACES) - i))
+        while width < WINDOW:
+            out = bind(out, _nearer(width))
+            width *= 2
+        # The last WINDOW - 1 minima are of windows that overhang the end; a text shorter than a window keeps one.
+        full = lambda m: F.slice(m, F.lit(1), F.greatest(F.size(m) - (WINDOW - 1), F.least(F.size(m), F.lit(1))))
+        place = lambda x: (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("int")
+        return F.transform(F.array_distinct(bind(out, full)), lambda x: F.struct(F.get(g, place(x)).alias("hash"), place(x).alias("place")))
 
-def winnow(text: Column) -> Column:
-    """Packed numbers that are kept, in order of their windows."""
-    width, out = 1, grams(text)
-    size = F.size
-    while width < WINDOW:
-        out = bind(out, _nearer(width))
-        width *= 2
-    # The last WINDOW - 1 minima are of windows that overhang the end; a text shorter than a window keeps one.
-    full = lambda m: F.slice(m, F.lit(1), F.greatest(size(m) - (WINDOW - 1), F.least(size(m), F.lit(1))))
-    return F.array_distinct(bind(out, full))
+    return bind(grams(text), kept)
 
 
 def _nearer(step: int) -> Callable[[Column], Column]:
@@ -79,8 +73,8 @@ def _nearer(step: int) -> Callable[[Column], Column]:
 
 
 def digest(kept: Column) -> Column:
-    """``hash:place`` of what is kept, comma-joined; the hash in 8 hexadecimal digits."""
-    return F.array_join(F.transform(kept, lambda x: F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 31))), 8, "0"), F.lit(":"), (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("string"))), ",")
+    """``hash:place`` of what is kept, comma-joined; the hash in 16 hexadecimal digits."""
+    return F.array_join(F.transform(kept, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 16, "0"), F.lit(":"), x["place"].cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,65 +85,60 @@ def likeness(a: Column, b: Column) -> Column:
         union = F.size(x) + F.size(y) - both
         return F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1)))
 
-    hashes = [F.array_distinct(F.transform(v, lambda x: F.shiftrightunsigned(x, 31))) for v in (a, b)]
+    hashes = [F.array_distinct(F.transform(v, lambda x: x["hash"])) for v in (a, b)]
     return bind(hashes[0], lambda x: bind(hashes[1], lambda y: share(x, y)))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept``: arrays of structs with hash and place, for matching passages."""
-    kept = winnow(F.coalesce(docs[text_col], F.lit("")))
-    return docs.select(docs[id_col].alias("doc_id"), F.transform(kept, lambda x: F.struct(F.shiftrightunsigned(x, 31).alias("hash"), (F.lit(PLACES) - x.bitwiseAND(F.lit(PLACES))).cast("int").alias("place"))).alias("kept"))
+    return docs.select(docs[id_col].alias("doc_id"), winnow(F.coalesce(docs[text_col], F.lit(""))).alias("kept"))
 
 
-def followers(docs: DataFrame, ranges: int) -> DataFrame:
-    """Add ``_next``: the row that follows by ``doc_id`` downwards (null last), then text; the first follows the last.
+def followers(slim: DataFrame) -> DataFrame:
+    """``doc_id, k, h, n, chars, next_k, next_h``: each different row (``k, h``: hashes of id and text), how often it stands,
+    and the one that follows by id downwards (null last), then ``h``; the first follows the last.
 
-    Ids are cut into ranges at their quantiles. Each range is ordered by itself; the first row of a
-    range is also dealt to the range before it, so that no row looks beyond its range.
+    Rows are dealt by range and ordered range by range; of each range only the first row meets the others' in one place.
+    """
+    order = [F.desc_nulls_last("doc_id"), F.asc("h")]
+    groups = slim.groupBy("doc_id", "k", "h").agg(F.count("*").alias("n"), F.max("chars").alias("chars"))
+    dealt = materialize(groups.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    own = F.struct("k", "h")
+    here = Window.partitionBy("part").orderBy(*order)
+    ranked = dealt.withColumns({"next": F.lead(own).over(here), "place": F.row_number().over(here)})
+    heads = ranked.where("place = 1").select("part", own.alias("head"))  # a row for each range
+    after = Window.orderBy("part").rowsBetween(1, 1)
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turn = heads.select("part", F.coalesce(F.first("head").over(after), F.first("head").over(first)).alias("turn"))
+    both = ranked.join(turn, "part").withColumn("to", F.coalesce("next", "turn"))
+    return both.select("doc_id", "k", "h", "n", "chars", F.col("to.k").alias("next_k"), F.col("to.h").alias("next_h"))
+
+
+def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of each text and of its edit (second half replaced by the next text's start), and their likeness.
+
+    Who follows whom is found on ids and hashes alone. Texts are dealt once by their own hashes, equal rows combined before;
+    each then sends its fingerprint and the start that is asked for to the row before it.
     """
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 20 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)  # at most one number for each range
-    at = F.lit(0)
-    if cuts:  # number of cuts above the id, by bisection
-        held, n = F.array(*(F.lit(c) for c in cuts)), len(cuts)
-        steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
-        above = lambda low, step: (low + step <= n) & (F.get(held, low + step - 1) > F.col("doc_id"))
-        at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(above(low, step), low + step).otherwise(low))
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(at)
-    order = (F.desc_nulls_last("doc_id"), "text")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("part", part)
-    heads = rows.groupBy("part").agg(F.max("doc_id").alias("doc_id"))
-    heads = [tuple(r) for r in heads.orderBy("part").collect()]  # a row for each range
-    if not heads:
-        return docs.withColumn("_next", F.struct(*docs.columns))
-    before = F.element_at(F.create_map(*(F.lit(x) for i, (p, _) in enumerate(heads) for x in (p, heads[i - 1][0]))), F.col("part"))
-    tops = F.lit(False)
-    ids = [d for _, d in heads if d is not None]
-    if ids:
-        tops = F.coalesce(F.col("doc_id").isin(ids), F.lit(False))
-    if heads[-1][1] is None:
-        tops = tops | F.col("doc_id").isNull()
-    # Of equal ids at a range's top, the first by text is the head.
-    guests = rows.where(tops).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    first = rows.where(tops).join(guests, (rows.part == guests.part) & rows.doc_id.eqNullSafe(guests.doc_id) & (rows.text == guests.text), "left_semi")
-    first = first.groupBy("part").agg(F.first("row").alias("row"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    first = first.select("row", "doc_id", "text", before.alias("part")).withColumn("guest", F.lit(1))
-    both = rows.withColumn("guest", F.lit(0)).unionByName(first)
-    seen = Window.partitionBy("part").orderBy("guest", *order)
-    return both.withColumn("_next", F.lead("row").over(seen)).where("guest = 0").select("row.*", "_next")
-
-
-def compare(docs: DataFrame, ranges: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edit (second half replaced by the next text's start), and their likeness."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = docs.select(docs[id_col].alias("doc_id"), text.alias("text")).withColumn("kept", winnow(F.col("text")))
-    both = followers(own, ranges)
+    known = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), docs[id_col].isNull()).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    order = materialize(followers(known.select("doc_id", "k", "h", F.length("text").alias("chars"))))
+    half = lambda n: F.floor(n / 2).cast("int")
+    own = known.select("k", "h", "text", winnow(F.col("text")).alias("kept")).groupBy("k", "h").agg(F.first("text").alias("text"), F.first("kept").alias("kept"))
+    asked = order.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("next_k").alias("k"), F.col("next_h").alias("h"), half(F.col("chars")).alias("half"))
+    sent = own.join(asked, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"), F.col("kept").alias("next_kept"))
+    both = own.join(order.select("doc_id", "k", "h", "n"), ["k", "h"]).join(sent, ["k", "h"])
+    # Of equal rows all but the last are followed by one like them.
+    last = F.struct(F.lit(True).alias("last"), F.lit(1).cast("long").alias("times"))
+    runs = F.when(F.col("n") == 1, F.array(last)).otherwise(F.array(last, F.struct(F.lit(False).alias("last"), (F.col("n") - 1).alias("times"))))
+    both = both.withColumn("run", F.explode(runs))
     n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("_next.text"), F.lit(1), half))
-    edits = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "kept", F.col("_next.kept").alias("next_kept"))
-    done = edits.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "kept", "next_kept", winnow(F.col("edited")).alias("edited_kept"))
-    return done.select(
+    start = F.when(F.col("run.last"), F.col("start")).otherwise(F.substring(F.col("text"), F.lit(1), half(n)))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half(n)), start)
+    edits = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "kept", F.when(F.col("run.last"), F.col("next_kept")).otherwise(F.col("kept")).alias("next_kept"), "run.times")
+    done = edits.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "kept", "next_kept", winnow(F.col("edited")).alias("edited_kept"), "times")
+    out = done.select(
         "doc_id", "n_chars", "edited_sha256", digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"), F.explode(F.expr("array_repeat(1, CAST(times AS int))")).alias("_"),
     )
+    return out.drop("_")

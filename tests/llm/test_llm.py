@@ -545,18 +545,17 @@ def test_models_without_labels(spark, none):
 def brute_winnow(text):
     import re
 
-    toks = re.findall(r"[^\s]{1,24}", text, re.A)
-    h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in toks]
+    h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in re.findall(r"(?<!\S)\S{1,24}(?!\S)|\S", text, re.A)]
     n = max(len(h) - 4, min(len(h), 1))
     grams = []
     for i in range(n):
-        x = 42
-        for v in h[i : i + 5]:
-            x = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), x)
-        grams.append(x >> 32)
+        x = 0
+        for v in (h[i : i + 5] + [0] * 5)[:5]:  # one token in, and one rotation
+            x = ((x << 1 | x >> 63) & (1 << 64) - 1) ^ v
+        grams.append(x)
     out = []
     for s in range(max(n - 15, min(n, 1))):
-        window = grams[s : s + 16]
+        window = [x >> 32 for x in grams[s : s + 16]]
         best = max(i for i, v in enumerate(window) if v == min(window)) + s
         if (grams[best], best) not in out:
             out.append((grams[best], best))
@@ -574,10 +573,10 @@ def test_winnowing_against_brute_force(docs):
         edit = t[: len(t) - half] + follower[:half]
         own, ed, nx = brute_winnow(t), brute_winnow(edit), brute_winnow(follower)
         s = [{h for h, _ in x} for x in (own, ed, nx)]
-        form = lambda x: ",".join(f"{h:08x}:{p}" for h, p in x)
+        form = lambda x: ",".join(f"{h:016x}:{p}" for h, p in x)
         want[(data[i]["doc_id"], len(t), hashlib.sha256(edit.encode()).hexdigest(), form(own), form(ed), round(share(s[0], s[1]), 9), round(share(s[0], s[2]), 9))] += 1
-    for ranges in (1, 8):
-        got = winnow.compare(docs, ranges)
+    for parts in (1, 8):
+        got = winnow.compare(docs.repartition(parts))
         assert Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9)) for r in got.collect()) == want
 
 
@@ -591,6 +590,30 @@ def test_passages_without_spaces_meet_at_every_offset(spark):
     assert all(kept[i] & kept[j] for i in kept for j in kept)
 
 
+def test_winnowing_with_a_third_of_all_rows_under_one_id(spark):
+    r = random.Random(9)
+    some = lambda n: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n))
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, some(40) if i % 6 else "one text that stands again and again") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = rows(winnow.compare(df))
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in data)
+    order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), xxhash.xxh64_intdigest(x[1].encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(x[1].encode(), 42) >> 63)))
+    edits = Counter()
+    for (d, t), (_, f) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        edits[(d, hashlib.sha256((t[: len(t) - half] + f[:half]).encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == edits
+
+
+def test_long_ascii_runs_meet_at_every_offset(spark):
+    r = random.Random(10)
+    some = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(n))
+    passage = some(20)
+    df = spark.createDataFrame([(i, some(30 + i) + passage + some(40)) for i in range(30)], "doc_id long, text string")
+    kept = {x["doc_id"]: {k["hash"] for k in x["kept"]} for x in winnow.fingerprint(df).collect()}
+    assert all(kept[i] & kept[j] for i in kept for j in kept)
+
+
 # ---- 3
 
 
