@@ -98,6 +98,30 @@ def test_media_payloads(docs):
         form = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
         assert r["media_bytes"] == len(form) and r["media_sha256"] == hashlib.sha256(form).hexdigest()
         assert seen.setdefault(full, r["feature"]) == r["feature"]
+        # The feature by plain sums: cells of a grid refined so that each cell is whole.
+        h = len(full) // 64
+        if h <= 60:
+            image = [full[i * 64 : i * 64 + 64] for i in range(h)]
+            cell = lambda y, x, ny, nx: sum(image[a // ny][b // nx] for a in range(y * h, (y + 1) * h) for b in range(x * 64, (x + 1) * 64)) / (h * 64)
+            tile = np.load(__import__("io").BytesIO(bytes(r["tile"])))
+            assert tile.shape == (16, 16) and all(abs(float(tile[y, x]) - cell(y, x, 16, 16)) <= 0.5 + 1e-6 for y, x in ((0, 0), (3, 7), (15, 15), (8, 2)))
+            bits = [round(cell(y, x + 1, 8, 9), 6) > round(cell(y, x, 8, 9), 6) for y in range(8) for x in range(8)]
+            assert r["feature"] == f"{int(''.join('01'[b] for b in bits), 2):016x}:{hashlib.sha256(bytes(r['tile'])).hexdigest()[:16]}"
+
+
+def test_media_odd_images(spark):
+    assert media.decode(b"P5 2 1 65535\n" + b"\x9c\x40\xff\xff").tolist() == [[40000, 65535]]
+    assert media.decode(b"P2 3 1 15\n0 7 15").tolist() == [[0, 119, 255]]
+    core = b"BM" + b"\0" * 8 + (26 + 6).to_bytes(4, "little") + (12).to_bytes(4, "little") + b"\2\0\1\0\1\0\1\0" + b"\1\2\3\4\5\6" + b"\x40\0\0\0"
+    assert media.decode(core).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    bad = [b"P5 99999999999999999999 1 255\n", b"P2 1 1 255\n99999999999999999999999", b"P2 1 1 255\n-5", b"P5 9 9 255\nxx", b"P6 1 1 0\nabc", b"BM", b"BM" + b"\xff" * 60, b"P2 1 1 9\n10", b"P4 900000000 900000000\n", b""]
+    for data in bad:
+        with pytest.raises((ValueError, __import__("struct").error)):
+            media.decode(data)
+    wide = b"P5 4 4 65535\n" + b"\x9c\x40" * 16
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*bad, wide])] + [(None, None)], "id long, m binary")
+    got = {r["id"]: r for r in rows(media.tiles(df, "id", "m", 4))}
+    assert sum(r["tile"] is not None for r in got.values()) == 1 and np.load(__import__("io").BytesIO(bytes(got[len(bad)]["tile"]))).tolist() == [[156] * 4] * 4
 
 
 def test_media_decoders_and_resize(spark):
