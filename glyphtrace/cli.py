@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("-a", "--advanced", action="store_true")
     p.add_argument("--fixed", action="store_true", help="mend the quirks of the published checks")
     p.add_argument("--markdown", action="store_true")
+    p.add_argument("--since", help="only files modified at this time or later, such as 2026-08-02")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("glyphtrace").getOrCreate()
     reach(spark)
@@ -35,7 +36,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not os.path.exists(a.target) and "://" not in a.target:
         print("No findings")
         return 0
-    results = scan_files(files(spark, a.target, hidden="://" not in a.target), config)
+    results = scan_files(files(spark, a.target, hidden="://" not in a.target, since=a.since), config)
     results = (results if single else findings(results)).cache()
     try:
         if a.json:

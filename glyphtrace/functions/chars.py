@@ -11,8 +11,16 @@ BIDI = [0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2066, 0x2067, 0x2068, 0x2069]
 MATH_ALPHANUMERIC = (0x1D400, 0x1D7FF)
 TAG_CHARACTERS = (0xE0000, 0xE007F)
 HOMOGLYPH_RANGES = [(0x0400, 0x04FF), (0x0370, 0x03FF)]
-CYRILLIC_LATIN = "a b v g d e zh z i i k l m n o p r s t u f h c ch sh sh - y - e yu ya"  # from U+0430; - is empty
-GREEK_LATIN = "a b g d e z h th i k l m n x o p r s s t u f ch ps w"  # from U+03B1
+HOMOGLYPHS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z",
+    "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "c", "ч": "ch",
+    "ш": "sh", "щ": "sh", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "h", "θ": "th",
+    "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "f", "χ": "ch", "ψ": "ps",
+    "ω": "w",
+}
 NAMESPACE_URLS = ["http://c2pa.org/", "https://c2pa.org/", "http://ns.c2pa.org/", "https://ns.c2pa.org/"]
 STRUCTURAL = [
     r'xmlns\s*:\s*c2pa\s*=\s*["\']http[s]?://(ns\.)?c2pa\.org/["\']',
@@ -52,6 +60,7 @@ PROMPTS = [
 ]
 END_TOKENS = [r"<\[im_end\]>", r"<\[im_start\]>", "<EOS>", "<END>", r"\n\n<", r"\|\|", r"<\[", r"\|>"]
 END_TOKENS_FIXED = [r"<\|im_end\|>", r"<\|im_start\|>", "<EOS>", "<END>", r"\n\n<", r"\|\|", r"<\|", r"\|>"]
+COMMON_PHRASES = ["of the", "in the", "to the", "with the", "for the"]
 ATTRIBUTION = ["Generated by", "Created by", "Model:", "AI-generated", "X-Generated-By"]
 TEXT_EXTENSIONS = ["txt", "md", "html", "htm", "json", "xml", "yaml", "yml", "css", "js"]
 
@@ -62,7 +71,7 @@ WORD = r"[\p{L}\p{N}_]"
 
 def homoglyphs() -> dict[str, str]:
     """Look-alike letter to its Latin value."""
-    return {chr(first + i): "" if v == "-" else v for first, row in ((0x0430, CYRILLIC_LATIN), (0x03B1, GREEK_LATIN)) for i, v in enumerate(row.split())}
+    return HOMOGLYPHS
 
 
 def class_of(points) -> str:

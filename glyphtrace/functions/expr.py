@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chars
@@ -15,6 +15,12 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` computed once a row: the optimiser copies no expression through a generator, however often and in
+    whatever filters ``name`` is read above it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def words(text: Column) -> Column:
     """Lower-cased words as ``str.lower().split()`` gives them."""
     return F.filter(F.split(F.lower(text), f"[{chars.WS}]+"), lambda w: w != "")

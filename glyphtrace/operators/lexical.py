@@ -45,24 +45,24 @@ def ttr(w: Column) -> Column:
 def mattr(w: Column, window: int = 100) -> Column:
     """Mean share of distinct words over all windows; under one window the plain share.
 
-    A word adds to a window where it stands first: in those that start after its former place. Only the
-    ``window - 1`` words before it need be looked at.
+    A word adds to a window where it stands first: in those that start after its former place. In order of word and
+    place a word's former place is its neighbour's.
     """
 
-    def of(h: Column) -> Column:
-        n = F.size(h)
-        last = n - window
+    def of(s: Column) -> Column:
+        last = F.size(s) - window
 
-        def adds(x: Column, j: Column) -> Column:
-            start = F.greatest(F.lit(0), j - (window - 1))
-            back = F.array_position(F.reverse(F.slice(h, start + 1, F.least(j, F.lit(window - 1)))), x)
-            prev = F.when(back > 0, j - back + 1).otherwise(0)
-            return F.greatest(F.lit(0), F.least(j, last) - F.greatest(start, prev.cast("int")) + 1).cast("long")
+        def adds(x: Column, k: Column) -> Column:
+            return bind(F.get(s, k - 1), lambda before: count(x["j"], F.when(before["h"] == x["h"], before["j"] + 1).otherwise(0)))
 
-        total = F.aggregate(F.transform(h, adds), F.lit(0).cast("long"), lambda a, v: a + v)
-        return F.when(n >= window, total / (F.lit(window) * (last + 1)).cast("double")).otherwise(ttr(h))
+        def count(j: Column, after: Column) -> Column:
+            return F.greatest(F.lit(0), F.least(j, last) - F.greatest(F.lit(0), j - (window - 1), after) + 1).cast("long")
 
-    return bind(F.transform(w, lambda x: F.xxhash64(x)), of)
+        total = F.aggregate(F.transform(s, adds), F.lit(0).cast("long"), lambda a, v: a + v)
+        return total / (F.lit(window) * (last + 1)).cast("double")
+
+    placed = F.array_sort(F.transform(w, lambda x, j: F.struct(F.xxhash64(x).alias("h"), j.alias("j"))))
+    return F.when(F.size(w) >= window, bind(placed, of)).otherwise(ttr(w))
 
 
 def repeated_ngrams(w: Column, n: int = 3, least: int = 2) -> Column:

@@ -91,7 +91,7 @@ c AS (SELECT doc_id, unnest(range(len(s))) AS p, unnest(s) AS ch FROM (SELECT do
 """
 
 
-@query(_CHARS + "x AS (SELECT 1) SELECT doc_id, CAST(p AS INTEGER) AS position, c.ch AS letter, codepoint, latin FROM c JOIN h ON c.ch = h.ch")
+@query(_CHARS.rstrip().removesuffix(",") + " SELECT doc_id, CAST(p AS INTEGER) AS position, c.ch AS letter, codepoint, latin FROM c JOIN h ON c.ch = h.ch")
 def homoglyph_hits(spark, sf):
     return homoglyph.hits(marked(spark, sf), "doc_id", "t").select("doc_id", "position", F.col("char").alias("letter"), "codepoint", F.col("latin_equivalent").alias("latin"))
 
@@ -120,9 +120,11 @@ def script_characters(spark, sf):
     return marked(spark, sf).select("doc_id", joined(homoglyph.script_characters(F.col("t"))).alias("letters"))
 
 
-@query(M + "SELECT doc_id, len(substr(t, 1, 101)) AS n, substr(t, greatest(1, 21 - 10), 21) AS context FROM m WHERE len(t) > 40")
+@query(M + ", p AS (SELECT doc_id, t, unnest(range(0, len(t), 97)) AS p FROM m) SELECT doc_id, CAST(p AS INTEGER) AS position, substr(t, greatest(1, p - 49), p + 51 - greatest(0, p - 50)) AS context FROM p")
 def surrounding_context(spark, sf):
-    return marked(spark, sf).where(F.length("t") > 40).select("doc_id", F.length(homoglyph.surrounding_context(F.col("t"), F.lit(0), 100)).cast("long").alias("n"), homoglyph.surrounding_context(F.col("t"), F.lit(20), 10).alias("context"))
+    """The context of every 97th position of every text."""
+    each = marked(spark, sf).where(F.length("t") > 0).select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(97))).alias("position"))
+    return each.select("doc_id", "position", homoglyph.surrounding_context(F.col("t"), F.col("position"), 50).alias("context"))
 
 
 @query(M + f"SELECT doc_id, CASE WHEN nfc_normalize(t) <> t THEN 'non_nfc' WHEN regexp_matches(t, {q(f'[{chars.DECOMPOSABLE}]')}) THEN 'non_nfd' ELSE 'normalized' END AS form FROM m")
@@ -322,7 +324,7 @@ _ANY = " OR ".join(f'"{k}"' for k in scan.FLAGS)
 
 def flagged(spark, sf):
     rows = marked(spark, sf).where(F.length("t") > 100)
-    return scan.statistics(rows, "t").select("doc_id", "lang", "source", *(v.alias(k) for k, v in scan.flags(F.col("stats")).items()))
+    return scan.statistics(rows, "t", mattr_over=scan.DEFAULT.long_words).select("doc_id", "lang", "source", *(v.alias(k) for k, v in scan.flags(F.col("stats")).items()))
 
 
 @query(_ROLL + "SELECT doc_id, " + ", ".join(f'"{k}"' for k in scan.FLAGS) + f", ({_ANY}) AS has_mark FROM f")
@@ -445,7 +447,7 @@ def unknown_entities(spark, sf):
     return corpus.unknown_entities(found, known, "entity")
 
 
-# ---- bytes: fixed literals, expected values in the tests
+# ---- bytes: fixed literals; the SQL reads their hexadecimal digits
 
 _BYTES = [
     ("png_min.png", "89504E470D0A1A0A0000000D4948445200000001"), ("png_bad.png", "89504E470D0A1A0A6332504100000000000000000000"),
@@ -460,19 +462,44 @@ def literal_files(spark: SparkSession) -> DataFrame:
     return rows.select("path", F.unhex("hex").alias("content")).withColumn("length", F.octet_length("content").cast("long"))
 
 
-@query()
+_HEX = "WITH b(path, hex) AS (VALUES " + ", ".join(f"({q(p)}, {q(h)})" for p, h in _BYTES) + "),\n" + r"""
+k AS (SELECT path, hex, CAST(length(hex) // 2 AS BIGINT) AS size,
+  CASE WHEN path LIKE '%.png' THEN 'png' WHEN path LIKE '%.txt' THEN 'text' WHEN hex LIKE '89504E470D0A1A0A%' THEN 'png'
+       WHEN hex LIKE 'FFD8FF%' THEN 'jpg' WHEN hex LIKE 'EFBBBF%' THEN 'text' WHEN NOT regexp_matches(hex, '^(..)*00') THEN 'text' ELSE 'binary' END AS file_type FROM b)
+"""
+
+
+@query(
+    _HEX
+    + r""", f AS (SELECT *, regexp_matches(hex, '^(..)*6A756D6266') AS jumbf,
+  regexp_matches(hex, '^(..)*63327061') OR regexp_matches(substr(hex, 1, length(hex) - 2), '^(..)*[46]332[57]0[46]1') AS brand,
+  path LIKE '%.png' AND hex LIKE '89504E470D0A1A0A%' AND size > 16 AND regexp_matches(substr(hex, 17, 8), '^([46]332[57]0[46]1|[57]0[57]2[57]6[46]E|[46]D[46]5[57]4[46]1)$') AS png FROM k),
+g AS (SELECT *, (jumbf AND brand) OR png AS hit, file_type IN ('png', 'jpg', 'binary') AS bin FROM f)
+SELECT path AS file, file_type, size, CASE WHEN bin THEN hit END AS binary_c2pa_detected, CASE WHEN bin THEN jumbf END AS jumbf_found, CASE WHEN bin THEN jumbf AND brand END AS c2pa_brand_found,
+  CASE WHEN bin THEN hit ELSE regexp_matches(hex, '^(..)*(E2808[BCD]|E281A0|EFBBBF|EFB88[0-9A-F])') END AS has_watermark,
+  CASE WHEN bin AND hit THEN 'Binary C2PA (JUMBF) detected' WHEN bin AND jumbf THEN 'JUMBF container detected' ELSE '' END AS notes FROM g"""
+)
 def binary_jumbf(spark, sf):
     results = scan.scan_files(literal_files(spark))
     return results.select("file", "file_type", "size", "binary_c2pa_detected", "jumbf_found", "c2pa_brand_found", "has_watermark", F.array_join("notes", "; ").alias("notes"))
 
 
-@query()
+@query(
+    _HEX.replace("WITH b", "WITH RECURSIVE b", 1)
+    + r""", w(path, hex, place, idx) AS (SELECT path, hex, CAST(8 AS BIGINT), 0 FROM b WHERE hex LIKE '89504E470D0A1A0A%' UNION ALL
+  SELECT path, hex, place + 12 + CAST('0x' || substr(hex, 2 * place + 1, 8) AS BIGINT), idx + 1 FROM w WHERE 2 * place + 16 <= length(hex))
+SELECT path, CAST(idx AS INTEGER) AS idx, decode(unhex(substr(hex, 2 * place + 9, 8))) AS type, CAST('0x' || substr(hex, 2 * place + 1, 8) AS BIGINT) AS length FROM w WHERE 2 * place + 16 <= length(hex)"""
+)
 def png_chunks(spark, sf):
     found = literal_files(spark).select("path", F.explode(provenance.png_chunks(F.col("content"))).alias("c"))
     return found.select("path", "c.idx", "c.type", "c.length")
 
 
-@query()
+@query(
+    _HEX
+    + r"""SELECT path, file_type, CASE WHEN file_type <> 'text' THEN NULL WHEN hex IN (SELECT hex FROM k WHERE regexp_matches(hex, '^([0-7].|C[2-9A-F][89AB].|D.[89AB].|E[1-9A-CEF][89AB].[89AB].)*$')) THEN decode(unhex(hex))
+  ELSE array_to_string(list_transform(range(size // 2), lambda i: chr(CAST('0x' || substr(hex, CAST(4 * i + 3 AS BIGINT), 2) || substr(hex, CAST(4 * i + 1 AS BIGINT), 2) AS INTEGER))), '') END AS text FROM k"""
+)
 def decode_fallback(spark, sf):
     from ..sources.files import decode, file_type
 

@@ -41,8 +41,12 @@ def lines(results: DataFrame, verbose: bool = False) -> Iterator[str]:
     yield f"{n} file(s) with findings" if n else "No findings"
 
 
+def cell(text: str | None) -> str:
+    return (text or "").replace("\\", "\\\\").replace("|", "\\|").replace("\r", " ").replace("\n", " ")
+
+
 def to_markdown(results: DataFrame) -> Iterator[str]:
     yield "| file | type | size | flagged | notes |"
     yield "|---|---|---|---|---|"
     for r in results.select("file", "file_type", "size", "has_watermark", F.array_join("notes", "; ").alias("notes")).toLocalIterator():
-        yield f"| {r['file']} | {r['file_type']} | {r['size']} | {'yes' if r['has_watermark'] else 'no'} | {r['notes']} |"
+        yield f"| {cell(r['file'])} | {r['file_type']} | {r['size']} | {'yes' if r['has_watermark'] else 'no'} | {cell(r['notes'])} |"
