@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold, map_arrow, slices
 
-MOST, BUDGET, BLOCK, TABLE = 2_000, 6_000_000, 64, 1 << 18
+MOST, BUDGET, BLOCK, TABLE = 2_000, 4_000_000, 64, 1 << 18
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…¡¿"
-CACHE = 1 << 20
+CACHE = 1 << 16
 
 
 def form(token: str) -> str:
