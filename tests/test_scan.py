@@ -161,6 +161,49 @@ def test_foreign_text_notes(spark):
     assert not any("Unicode" in n for n in mended["notes"])
 
 
+def test_repeated_and_null_names_keep_their_own_letters(spark):
+    latin = "A perfectly plain text in which one l\u043etter is not what it seems to be at all, and that is that. " * 2
+    df = spark.createDataFrame([(1, RUSSIAN), (1, latin), (None, latin), (None, RUSSIAN)], "id long, t string")
+    got = [(r["file"], len(r["homoglyphs"]) > 50, len(r["suspicious_homoglyphs"])) for r in scan.scan_texts(from_table(df, "id", "t")).collect()]
+    assert sorted(got, key=str) == sorted([("1", True, 0), ("1", False, 2), (None, False, 2), (None, True, 0)], key=str)
+
+
+def test_notes_in_the_published_form(spark):
+    text = "You are a cat. " + "don't do it now \u202e x \U0001d400 \U000e0041 y " * 2 + "a || b\n\n<p>" + " z" * 40
+    notes = scan.scan_texts(from_table(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")).first()["notes"]
+    assert notes[:4] == ["Bidi override chars: ['\\u202e']", "Math alphabetic chars: ['U+1D400', 'U+1D400']", "Tag characters: ['U+0E0041', 'U+0E0041']", "Prompt leakage: ['You are a \\\\w+']"]
+    assert notes[4].startswith("""Unusual token repetition: ["don't do it", 'do it now', """) and notes[5] == "EOS patterns: ['\\\\n\\\\n<', '\\\\|\\\\|']"
+
+
+def test_common_phrases_of_the_fixed_mode(spark):
+    text = "part of the one part of the two in the end we saw in the end we left " + "and here are many other words that stand once only in all of these lines so nothing else comes back"
+    rows = from_table(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t")
+    note = lambda c: [n for n in scan.scan_texts(rows, c).first()["notes"] if n.startswith("Unusual")]
+    assert note(DEFAULT) == ["Unusual token repetition: ['part of the', 'in the end', 'the end we']"]
+    assert note(replace(DEFAULT, compat=False)) == ["Unusual token repetition: ['the end we']"]
+
+
+def test_unreadable_files_are_found(spark):
+    rows = [("x.png", None, None, "no access"), ("y.txt", None, None, "no access"), ("z.txt", 5, bytearray(b"clean"), None)]
+    got = {r["file"]: r for r in scan.findings(scan.scan_files(spark.createDataFrame(rows, "path string, length long, content binary, error string"))).collect()}
+    assert set(got) == {"x.png", "y.txt"} and all(r["error"] == "no access" and r["notes"] == [scan.FAILED] and not r["has_watermark"] for r in got.values())
+    assert got["x.png"]["binary_error"] == "no access" and got["y.txt"]["binary_error"] is None
+
+
+def test_files_by_time_and_cells_of_the_report(spark, tmp_path):
+    import os
+
+    from glyphtrace.report import cell
+    from glyphtrace.sources.files import files
+
+    for name, at in (("old.txt", 1_000_000_000), ("new.txt", 1_900_000_000)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (at, at))
+    for hidden in (False, True):
+        assert [r["path"].rsplit("/", 1)[1] for r in files(spark, str(tmp_path), hidden, "2026-08-02").collect()] == ["new.txt"]
+    assert cell("a|b\nc\\") == "a\\|b c\\\\" and cell(None) == ""
+
+
 def test_bytes(spark):
     got = {r["file"]: r for r in scan.scan_files(catalogue.literal_files(spark)).collect()}
     kinds = {k: v["file_type"] for k, v in got.items()}
@@ -197,7 +240,7 @@ def test_sql_functions(spark):
     assert tuple(row) == (1, pytest.approx(2 / 3), True, 2)
 
 
-@pytest.mark.parametrize("name", ["zero_width_counts", "homoglyph_suspicious", "mattr", "repeated_trigrams", "heading_issues", "statistical_rollup", "ngram_kl_vs_baseline"])
+@pytest.mark.parametrize("name", ["zero_width_counts", "homoglyph_suspicious", "mattr", "repeated_trigrams", "heading_issues", "statistical_rollup", "ngram_kl_vs_baseline", "surrounding_context", "binary_jumbf", "png_chunks", "decode_fallback"])
 def test_queries_match_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
