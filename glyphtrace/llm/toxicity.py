@@ -32,7 +32,7 @@ from .common import documents, fold, map_arrow, slices
 
 MOST, BUDGET, BLOCK, TABLE = 2_000, 4_000_000, 64, 1 << 18
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…¡¿"
-CACHE = 1 << 16
+CACHE = 1 << 18
 
 
 def form(token: str) -> str:
