@@ -78,14 +78,14 @@ def digest(kept: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard of the kept hashes."""
+    """Jaccard of two arrays of kept hashes."""
 
     def share(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
         union = F.size(x) + F.size(y) - both
         return F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1)))
 
-    hashes = [F.array_distinct(F.transform(v, lambda x: x["hash"])) for v in (a, b)]
+    hashes = [F.array_distinct(v) for v in (a, b)]
     return bind(hashes[0], lambda x: bind(hashes[1], lambda y: share(x, y)))
 
 
@@ -124,9 +124,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), docs[id_col].isNull()).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
     order = materialize(followers(known.select("doc_id", "k", "h", F.length("text").alias("chars"))))
     half = lambda n: F.floor(n / 2).cast("int")
-    own = known.select("k", "h", "text", winnow(F.col("text")).alias("kept")).groupBy("k", "h").agg(F.first("text").alias("text"), F.first("kept").alias("kept"))
+    # Hashes and places travel as arrays of numbers, a third of the size of structs; the row before needs hashes only.
+    own = known.select("k", "h", "text", winnow(F.col("text")).alias("kept"))
+    own = own.select("k", "h", "text", F.transform("kept", lambda x: x["hash"]).alias("hashes"), F.transform("kept", lambda x: x["place"]).alias("places"))
+    own = own.groupBy("k", "h").agg(*(F.first(c).alias(c) for c in ("text", "hashes", "places")))
     asked = order.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("next_k").alias("k"), F.col("next_h").alias("h"), half(F.col("chars")).alias("half"))
-    sent = own.join(asked, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"), F.col("kept").alias("next_kept"))
+    sent = own.join(asked, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"), F.col("hashes").alias("next_hashes"))
     both = own.join(order.select("doc_id", "k", "h", "n"), ["k", "h"]).join(sent, ["k", "h"])
     # Of equal rows all but the last are followed by one like them.
     last = F.struct(F.lit(True).alias("last"), F.lit(1).cast("long").alias("times"))
@@ -135,10 +138,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.length("text")
     start = F.when(F.col("run.last"), F.col("start")).otherwise(F.substring(F.col("text"), F.lit(1), half(n)))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half(n)), start)
-    edits = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "kept", F.when(F.col("run.last"), F.col("next_kept")).otherwise(F.col("kept")).alias("next_kept"), "run.times")
-    done = edits.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "kept", "next_kept", winnow(F.col("edited")).alias("edited_kept"), "times")
+    edits = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "hashes", "places", F.when(F.col("run.last"), F.col("next_hashes")).otherwise(F.col("hashes")).alias("next_hashes"), "run.times")
+    done = edits.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "hashes", "places", "next_hashes", winnow(F.col("edited")).alias("edited_kept"), "times")
+    edited_hashes = F.transform("edited_kept", lambda x: x["hash"])
+    own_kept = F.zip_with("hashes", "places", lambda x, p: F.named_struct(F.lit("hash"), x, F.lit("place"), p))
     out = done.select(
-        "doc_id", "n_chars", "edited_sha256", digest(F.col("kept")).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"), F.explode(F.expr("array_repeat(1, CAST(times AS int))")).alias("_"),
+        "doc_id", "n_chars", "edited_sha256", digest(own_kept).alias("fingerprint"), digest(F.col("edited_kept")).alias("edited_fingerprint"),
+        likeness(F.col("hashes"), edited_hashes).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), F.explode(F.expr("array_repeat(1, CAST(times AS int))")).alias("_"),
     )
     return out.drop("_")
