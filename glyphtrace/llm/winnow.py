@@ -127,7 +127,8 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Hashes and places travel as arrays of numbers, a third of the size of structs; the row before needs hashes only.
     own = known.select("k", "h", "text", winnow(F.col("text")).alias("kept"))
     own = own.select("k", "h", "text", F.transform("kept", lambda x: x["hash"]).alias("hashes"), F.transform("kept", lambda x: x["place"]).alias("places"))
-    own = own.groupBy("k", "h").agg(*(F.first(c).alias(c) for c in ("text", "hashes", "places")))
+    # One struct, so both joins read the same columns and share one shuffle.
+    own = own.groupBy("k", "h").agg(F.first(F.struct("text", "hashes", "places")).alias("own")).select("k", "h", "own.*")
     asked = order.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.col("next_k").alias("k"), F.col("next_h").alias("h"), half(F.col("chars")).alias("half"))
     sent = own.join(asked, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"), F.col("hashes").alias("next_hashes"))
     both = own.join(order.select("doc_id", "k", "h", "n"), ["k", "h"]).join(sent, ["k", "h"])
