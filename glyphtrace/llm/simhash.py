@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, drop, join_spread, map_arrow, materialize, sieve, slices
+from . import likeness
+from .common import documents, drop, join_spread, map_arrow, materialize
 
 DISTANCE, WORDS, SEED, SKETCHES = 4, 4, 42, 4
 #: Members of a variant's group that one task compares; larger groups go to pairs of blocks.
@@ -236,26 +237,15 @@ def sketches(text: str, seeds: int = SKETCHES) -> list[int]:
     return out
 
 
-def shingle_set(text: str, words: int = 5) -> np.ndarray:
-    """Different 64-bit hashes of all runs of ``words`` words, of the whole text where it is shorter; none of no words."""
-    tokens = text.encode().lower().split()
-    n = len(tokens)
-    if n <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), SEED)] if n else [], np.uint64).view(np.int64)
-    joined = b" ".join(tokens)
-    size = np.fromiter(map(len, tokens), np.int64, n)
-    end = np.cumsum(size + 1) - 1
-    spans = zip((end - size)[: n - words + 1].tolist(), end[words - 1 :].tolist())
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64)).view(np.int64)
-
-
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, component_id``: the smallest id that links between texts reach whose five-word shingles have a Jaccard
-    similarity of ``least`` or more.
+    similarity of ``least`` or more. Every such pair of texts is linked, directly or by others.
 
-    Candidates are texts that have one of ``SKETCHES`` fingerprints of their different words within ``distance``, by the
+    First candidates are texts that have one of ``SKETCHES`` fingerprints of their different words within ``distance``, by the
     same variants as ``near_duplicates``; single words, since an edit changes fewer of them than of shingles. Equal
-    fingerprints and linked ones meet by their smallest text. Pairs are then verified.
+    fingerprints and linked ones meet by their smallest text. A spanning forest keeps what is near together, but not what is
+    similar: a link of it may fail the check, and similar texts may have no near fingerprints. ``likeness.links`` verifies
+    the candidates and finds all the others by the shingles themselves.
     """
     source = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tid"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -273,23 +263,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     between = links.join(one.toDF("a", "ha"), "a").join(one.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     pairs = same.union(between).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs)
-    may = sieve(pairs.select(F.explode(F.array("a", "b")).alias("tid")))
-
-    def sets(batches):
-        for batch in batches:
-            for part in slices(batch.filter(pa.array(may(batch.column("tid").to_numpy())))):
-                yield pa.RecordBatch.from_arrays([part.column("tid"), pa.array([shingle_set(t) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))], ["tid", "s"])
-
-    held = materialize(source.select("tid", "text").mapInArrow(sets, "tid long, s array<long>").groupBy("tid").agg(F.first("s").alias("s")))
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = materialize(both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    found = components(links)
+    found = components(likeness.links(source.select("tid", "text"), texts.where("n > 1").select("tid"), pairs, components, least))
     rooted = materialize(texts.drop("f").join(found, texts.tid == found.node, "left").select("tid", "low", "n", F.coalesce("root", "tid").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     named = join_spread(rooted.select("root", "tid", F.col("n").alias("rows")), lowest, "root")
     out = join_spread(own.drop("f"), named.select("tid", "component_id", F.col("rows").alias("n")), "tid").select("doc_id", "component_id")
-    drop(pairs, held, heads, texts)
+    drop(pairs, heads, texts)
     return out
 
 

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphtrace.llm import bpe, langid, media, mixing, passages, quality, secrets, simhash, stages, toxicity, winnow
+from glyphtrace.llm import bpe, langid, likeness, media, mixing, passages, quality, secrets, simhash, stages, toxicity, winnow
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rid string, `key` int"
@@ -854,6 +854,27 @@ def test_near_copies_are_caught_and_others_left_alone(spark):
     assert near > 250 and (600 - len(kept)) >= 0.9 * near
 
 
+@pytest.mark.parametrize("group", [20_000, 8])
+def test_every_similar_pair_is_linked(spark, monkeypatch, group):
+    monkeypatch.setattr(likeness.links, "__defaults__", (group,))
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    texts = ["", None, "  "]
+    for _ in range(40):  # dense groups around the threshold: some pairs of them are similar and others are not
+        base = [r.choice(words) for _ in range(r.randint(3, 90))]
+        for _ in range(r.randint(1, 25)):
+            e = list(base)
+            for _ in range(r.randint(0, max(1, len(e) // 25))):
+                at = r.randrange(len(e))
+                e[at : at + r.choice([0, 1, 1])] = [r.choice(words)]
+            texts.append(" ".join(e))
+    line = " ".join(r.choice(words) for _ in range(12))
+    texts += [" ".join(r.choice(words) for _ in range(40)) + " " + line for _ in range(200)]
+    root = brute_classes([(i, j) for i in range(len(texts)) for j in range(i) if brute_alike(texts[i] or "", texts[j] or "")], len(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert dict(simhash.similar(df).collect()) == dict(enumerate(root))
+
+
 def test_stages_with_a_third_of_all_rows_alike(spark):
     rows_of = [(None if i % 3 == 0 else i, "same words in all of these rows" if i % 3 == 1 else f"text number {i} of many", "hot" if i % 3 else "cold") for i in range(3000)]
     df = spark.createDataFrame(rows_of, "doc_id long, text string, source string").repartition(5)
