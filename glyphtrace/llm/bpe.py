@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import documents, map_arrow
+from .common import documents, kept, map_arrow
 
 #: Encoded pre-tokens kept per Python worker, and the longest that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
@@ -148,11 +147,14 @@ class _Pieces(dict):
         return ids
 
 
-@lru_cache(4)
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each Python worker; the vocabulary is a file that every node has installed."""
-    with open(path, "rb") as f:
-        return Codec(f.read(), pattern)
+
+    def make():
+        with open(path, "rb") as f:
+            return Codec(f.read(), pattern)
+
+    return kept(__name__, (path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -108,6 +108,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_to(fn.__module__)
         for batch in batches:
             for part in slices(batch):
                 cols = fn(part)
@@ -118,6 +119,23 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     return df.mapInArrow(run, out)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(owner: str, key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` makes, kept in this Python worker from task to task, until a task of another module comes."""
+    if (owner, key) not in _KEPT:
+        _KEPT[owner, key] = make()
+    return _KEPT[owner, key]
+
+
+def leave_to(owner: str) -> None:
+    """Drop what tasks of other modules have kept: workers are used again, and caches of several operators would add up."""
+    for name in [k for k in _KEPT if k[0] != owner]:
+        del _KEPT[name]
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

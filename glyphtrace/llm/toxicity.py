@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold, map_arrow, slices
+from .common import documents, fold, leave_to, map_arrow, slices
 
 MOST, BUDGET, BLOCK, TABLE = 2_000, 4_000_000, 64, 1 << 18
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…¡¿"
@@ -276,8 +276,9 @@ def keep_clean(docs: DataFrame, field: Field, threshold: float = 0.7, text_col:
     """The rows of ``docs`` that score under ``threshold``, all columns as they are."""
 
     def run(batches):
+        leave_to(__name__)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 128):
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(field.score(field.marginals(texts)) < threshold, pa.bool_()))
 

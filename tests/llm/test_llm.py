@@ -77,6 +77,16 @@ def test_bpe_long_and_odd_pieces(text):
     assert c.decode(ids) == text.encode()
 
 
+def test_workers_keep_the_caches_of_one_operator_only():
+    from glyphtrace.llm import common
+
+    c = bpe.codec(PATH, PATTERN)
+    common.leave_to("glyphtrace.llm.bpe")
+    assert bpe.codec(PATH, PATTERN) is c
+    common.leave_to("glyphtrace.llm.toxicity")
+    assert bpe.codec(PATH, PATTERN) is not c
+
+
 def test_rank_queue_order():
     q, r = bpe.RankQueue(50256), random.Random(3)
     items = [(r.randrange(50256), r.randrange(1000)) for _ in range(3000)]
