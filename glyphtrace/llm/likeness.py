@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, may_be_in, sieve, slices
+from .common import drop, leave_to, materialize, may_be_in, sieve, slices
 
 WORDS, BITS = 5, 512
 #: Texts of which one is looked at for frequent shingles, and how often one is found there to count as frequent.
@@ -139,19 +139,54 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
                     yield _pack(np.minimum(tid[of], tid[i]), np.maximum(tid[of], tid[i]))
 
 
+def wide(s: np.ndarray) -> np.ndarray:
+    """A signature of four bits or more a shingle; of two widths, the wider one folds to the other."""
+    size = max(BITS, 1 << (4 * s.size).bit_length())
+    odd = np.bincount((s >> 8) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _nearer(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` of which the wide signatures do not show that they are not similar."""
+    for batch in batches:
+        a, b, nx, ny = (batch.column(i).to_numpy() for i in range(4))
+        most, ok = (nx + ny) * ((1 - least) / (1 + least)) + 1e-6, np.zeros(a.size, bool)
+        for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+            ok[i] = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size))).sum(dtype=np.int64)) <= most[i]
+        yield _pack(a[ok], b[ok])
+
+
 def verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """``a, b, ok`` of ``pairs``: whether the sets themselves are similar."""
+    """Those of the pairs ``a, b`` whose sets themselves are similar. Sets move only for pairs that wide signatures let through."""
     may = sieve(pairs.select(F.explode(F.array("a", "b")).alias("tid")))
 
-    def sets(batches):
+    def signs(batches):
+        leave_to(__name__)
         for batch in batches:
             for part in slices(batch.filter(pa.array(may(batch.column("tid").to_numpy())))):
+                each = [shingle_set(t) for t in part.column("text").to_pylist()]
+                cols = pa.array([s.size for s in each], pa.int64()), pa.array([wide(s).tobytes() for s in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("tid"), *cols], ["tid", "n", "w"])
+
+    held = materialize(texts.mapInArrow(signs, "tid long, n long, w binary"))
+    both = pairs.join(held.toDF("a", "nx", "x"), "a").join(held.toDF("b", "ny", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
+    near = materialize(both.mapInArrow(lambda it: _nearer(it, least), "a long, b long"))
+    drop(held)
+    still = sieve(near.select(F.explode(F.array("a", "b")).alias("tid")))
+
+    def sets(batches):
+        leave_to(__name__)
+        for batch in batches:
+            for part in slices(batch.filter(pa.array(still(batch.column("tid").to_numpy())))):
                 yield pa.RecordBatch.from_arrays([part.column("tid"), pa.array([shingle_set(t) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))], ["tid", "s"])
 
-    held = materialize(texts.mapInArrow(sets, "tid long, s array<long>").groupBy("tid").agg(F.first("s").alias("s")))
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    held = materialize(texts.mapInArrow(sets, "tid long, s array<long>"))
+    both = near.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return materialize(both.select("a", "b", (shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).alias("ok")))
+    good = materialize(both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    drop(held, near)
+    return good
 
 
 def once(texts: DataFrame, many: DataFrame) -> DataFrame:
@@ -167,6 +202,7 @@ def links(texts: DataFrame, many: DataFrame, first: DataFrame, components: Calla
     """
 
     def every(batches):
+        leave_to(__name__)
         for batch in batches:
             for part in slices(batch):
                 each = [shingle_set(t) for t in part.column("text").to_pylist()]
@@ -176,6 +212,7 @@ def links(texts: DataFrame, many: DataFrame, first: DataFrame, components: Calla
     frequent = sieve(sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("h"))
 
     def heads(batches):
+        leave_to(__name__)
         for batch in batches:
             for part in slices(batch):
                 each = [prefix(shingle_set(t), frequent, least) for t in part.column("text").to_pylist()]
@@ -186,6 +223,7 @@ def links(texts: DataFrame, many: DataFrame, first: DataFrame, components: Calla
     shared = sieve(met.select("x"), min(max(1 << 20, 1 << (8 * met.count()).bit_length()), 1 << 27))
 
     def entries(batches):
+        leave_to(__name__)
         for batch in batches:
             for part in slices(batch):
                 rows = []
@@ -210,13 +248,14 @@ def links(texts: DataFrame, many: DataFrame, first: DataFrame, components: Calla
     keyed = rows.select(F.col("h").alias("k"), "tid", "n", "sign")
     found = materialize(keyed.repartition("k").sortWithinPartitions("k", "tid").mapInArrow(lambda it: _forests(it, least), "k long, a long, b long"))
     pairs = materialize(found.select("a", "b").unionByName(first).distinct())
-    tested = verified(texts, pairs, least)
-    good = tested.where("ok").select("a", "b")
-    open_ = materialize(found.where("k <> 0").join(tested.where("NOT ok"), ["a", "b"], "left_semi").select("k").distinct())
-    if not open_.limit(1).count():
-        return good
-    roots = components(good)
-    apart = keyed.join(open_, "k", "left_semi").join(roots, F.col("tid") == F.col("node"), "left").select("k", "tid", "n", "sign", F.coalesce("root", "tid").alias("root"))
-    more = apart.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _across(it, least), "a long, b long").distinct()
-    more = materialize(more.join(tested, ["a", "b"], "left_anti"))
-    return good.unionByName(verified(texts, more, least).where("ok").select("a", "b"))
+    good = verified(single, pairs, least)
+    open_ = materialize(found.where("k <> 0").join(pairs.join(good, ["a", "b"], "left_anti"), ["a", "b"], "left_semi").select("k").distinct())
+    if open_.limit(1).count():
+        roots = components(good)
+        apart = keyed.join(open_, "k", "left_semi").join(roots, F.col("tid") == F.col("node"), "left").select("k", "tid", "n", "sign", F.coalesce("root", "tid").alias("root"))
+        more = apart.repartition("k").sortWithinPartitions("k").mapInArrow(lambda it: _across(it, least), "a long, b long").distinct()
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"))
+        good = materialize(good.unionByName(verified(single, more, least)))
+        drop(more)
+    drop(met, index, found, pairs, open_)
+    return good

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import likeness
 from .common import documents, drop, join_spread, map_arrow, materialize
 
-DISTANCE, WORDS, SEED, SKETCHES = 4, 4, 42, 4
+DISTANCE, WORDS, SEED, SKETCHES = 4, 4, 42, 1
 #: Members of a variant's group that one task compares; larger groups go to pairs of blocks.
 GROUP = 20_000
 
